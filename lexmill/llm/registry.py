@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexmill.llm import licenses, secrets
+from lexmill.llm import bpe, licenses, secrets
 
 
 def queries() -> dict:
     return {
         "op3_secret_scan": secrets.query,
+        "op6_bpe_codec": bpe.query,
         "op8_license_scan": licenses.query,
     }
 
