@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, licenses, secrets
+from lexmill.llm import bpe, licenses, neardup, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_secret_scan": secrets.query,
         "op6_bpe_codec": bpe.query,
         "op8_license_scan": licenses.query,
+        "op9_minmax_neardup": neardup.query,
     }
 
 
