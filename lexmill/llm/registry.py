@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, licenses, neardup, secrets
+from lexmill.llm import bpe, licenses, neardup, rules, secrets
 
 
 def queries() -> dict:
     return {
         "op3_secret_scan": secrets.query,
+        "op5_adaptive_rules": rules.query,
         "op6_bpe_codec": bpe.query,
         "op8_license_scan": licenses.query,
         "op9_minmax_neardup": neardup.query,
