@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, licenses, neardup, rules, secrets
+from lexmill.llm import bpe, licenses, linedup, neardup, rules, secrets
 
 
 def queries() -> dict:
@@ -12,8 +12,11 @@ def queries() -> dict:
         "op6_bpe_codec": bpe.query,
         "op8_license_scan": licenses.query,
         "op9_minmax_neardup": neardup.query,
+        "op10_line_runs": linedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_line_runs": linedup.ORACLE,
+    }
