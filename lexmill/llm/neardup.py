@@ -31,8 +31,8 @@ from lexmill.llm.graph import components
 
 WORDS, PERCENT = 5, 85
 ROWS, BANDS = 5, 28
-#: Centres of a bucket in each round after the first.
-CENTRES = 8
+#: Centres of a bucket in each round after the first: most buckets then end in two rounds.
+CENTRES = 48
 CACHE = 250_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
