@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, licenses, linedup, neardup, rules, secrets
+from lexmill.llm import bpe, licenses, linedup, neardup, rules, secrets, suffix
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix.query,
         "op3_secret_scan": secrets.query,
         "op5_adaptive_rules": rules.query,
         "op6_bpe_codec": bpe.query,
