@@ -15,7 +15,8 @@ is owned by its leftmost smallest gram (by hash), so equal windows are owned by
 equal grams at equal offsets: a gram that occurs once owns nothing repeated,
 and grams whose whole owned stretch is equal repeat it throughout.  Only grams
 that occur in differing stretches go on, one stretch of each kind, dealt by
-gram.  A gram with more than HOT kinds would be one task's burden; its windows
+gram; and of these only stretches that share the SIDE bytes before or after the
+gram with another, since each window holds one of the two.  A gram with more than HOT kinds would be one task's burden; its windows
 are instead counted by fingerprint over all tasks, which gives the same.
 
 Defined cases: texts are UTF-8 bytes, null is empty; matches stay within a
@@ -36,6 +37,8 @@ from lexmill.llm.common import cut, table, texts_of
 from lexmill.llm.neardup import mix
 
 LENGTH, STEP, GRAM = 400, 40, 32
+#: A window holds so many bytes next to its gram on one side, at least.
+SIDE = (LENGTH - GRAM) // 2
 SYMBOLS = LENGTH // STEP
 HOT = 4096
 #: Bytes of stretches merged at once in a task, and in how many shards.
@@ -83,7 +86,8 @@ def owners(data: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """For every owning gram: its hash, a hash of the stretch of its windows, the text's key, first and last window, the gram's place."""
+    """For every owning gram: its hash, hashes of the stretch of its windows and of the SIDE bytes before and after it
+    (0 where no owned window holds them), the text's key, first and last window, the gram's place."""
 
     def run(batches):
         import pyarrow.compute as pc
@@ -92,13 +96,14 @@ def anchors(texts: DataFrame) -> DataFrame:
         for batch in batches:
             ids, th = batch.column(0), batch.column(1)
             values = pc.cast(batch.column(2), pa.binary())
-            rows, parts, stretch = [], [], []
+            rows, parts, stretch, left, right = [], [], [], [], []
             size = 0
 
             def out():
                 flat = np.concatenate(parts, axis=1) if parts else np.empty((4, 0), np.int64)
                 take = pa.array(np.repeat(np.array([r for r, _ in rows], np.int64), [k for _, k in rows]), pa.int64())
-                return pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(np.array(stretch, np.uint64).view(np.int64)), ids.take(take), th.take(take), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3].astype(np.int32))], names=["gram", "stretch", "doc_id", "th", "first", "last", "place"])
+                hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (stretch, left, right)]
+                return pa.RecordBatch.from_arrays([pa.array(flat[0]), *hashes, ids.take(take), th.take(take), *(pa.array(x.astype(np.int32)) for x in flat[1:])], names=["gram", "stretch", "before", "after", "doc_id", "th", "first", "last", "place"])
 
             for r in range(batch.num_rows):
                 raw = values[r].as_py()
@@ -110,13 +115,15 @@ def anchors(texts: DataFrame) -> DataFrame:
                 rows.append((r, place.size))
                 parts.append(np.stack([grams[place].view(np.int64), first, last, place]))
                 stretch += [xxhash.xxh3_64_intdigest(raw[f : e + LENGTH], seed=p - f) for p, f, e in zip(place.tolist(), first.tolist(), last.tolist())]
+                left += [xxhash.xxh3_64_intdigest(raw[p - SIDE : p]) | 1 if p - SIDE >= f else 0 for p, f in zip(place.tolist(), first.tolist())]
+                right += [xxhash.xxh3_64_intdigest(raw[p + GRAM : p + GRAM + SIDE]) | 1 if p - SIDE <= e else 0 for p, e in zip(place.tolist(), last.tolist())]
                 size += place.size
                 if size > 50_000:
                     yield out()
-                    rows, parts, stretch, size = [], [], [], 0
+                    rows, parts, stretch, left, right, size = [], [], [], [], [], 0
             yield out()
 
-    return texts.select("doc_id", "th", "text").mapInArrow(run, "gram long, stretch long, doc_id long, th long, first int, last int, place int")
+    return texts.select("doc_id", "th", "text").mapInArrow(run, "gram long, stretch long, before long, after long, doc_id long, th long, first int, last int, place int")
 
 
 def stable_order(keys: np.ndarray) -> np.ndarray:
@@ -264,17 +271,32 @@ def removals(texts: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     found = cut(anchors(texts))
     often = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     found = cut(found.join(often.hint("merge"), "gram", "left_semi"))
-    kinds = cut(found.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "first", "last")).alias("rep")))
+    kinds = cut(found.groupBy("gram", "stretch", "before", "after").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "first", "last", "place")).alias("rep")))
     whole = found.join(kinds.filter("n > 1").select("gram", "stretch").hint("merge"), ["gram", "stretch"]).select(*DOC, "first", "last")
-    differing = cut(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("gram", (F.col("kinds") > hot).alias("hot")))
-    wanted = cut(kinds.join(differing.hint("merge"), "gram").select("gram", "hot", (F.col("n") == 1).alias("single"), "rep.*"))
+
+    def shared(side: str) -> DataFrame:
+        """Sides of a gram in two kinds or more, of which one occurs once."""
+        return cut(kinds.filter(f"{side} <> 0").groupBy("gram", side).agg(F.count(F.lit(1)).alias(f"{side}_kinds"), F.min("n").alias("least")).filter(f"{side}_kinds > 1 and least = 1").drop("least"))
+
+    sided = kinds.select("gram", "before", "after", (F.col("n") == 1).alias("single"), "rep.*").join(shared("before").hint("merge"), ["gram", "before"], "left")
+    sided = cut(sided.join(shared("after").hint("merge"), ["gram", "after"], "left").filter("before_kinds is not null or after_kinds is not null"))
+    # Windows from `middle` on hold the bytes after the gram, those up to it the bytes before it.
+    middle = F.col("place") - SIDE
+    wanted = sided.select(
+        "gram", "single", *DOC, F.when(F.col("before_kinds").isNull(), F.greatest("first", middle)).otherwise(F.col("first")).alias("first"), F.when(F.col("after_kinds").isNull(), F.least("last", middle)).otherwise(F.col("last")).alias("last")
+    )
+    crowded = cut(wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("gram", F.lit(True).alias("hot")))
+    if crowded.isEmpty():
+        wanted = wanted.withColumn("hot", F.lit(False))
+    else:
+        wanted = cut(wanted.join(crowded.hint("merge"), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     whole = cut(whole)
     touched = cut(wanted.select(*DOC).unionByName(whole.select(*DOC)).distinct())
     own = cut(texts.join(touched.hint("merge"), DOC, "left_semi").dropDuplicates(DOC))
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + LENGTH)
     stretches = wanted.join(own.hint("merge"), DOC).select("gram", "hot", "single", *DOC, "first", bytes_of.alias("bytes"))
     parts = [whole, merged_windows(stretches.filter("not hot").repartition("gram").sortWithinPartitions("gram"))]
-    if not differing.filter("hot").isEmpty():
+    if not crowded.isEmpty():
         parts.append(counted_windows(stretches.filter("hot")))
     spans = parts[0]
     for more in parts[1:]:
