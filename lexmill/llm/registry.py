@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, licenses, linedup, neardup, rules, secrets, suffix
+from lexmill.llm import bpe, licenses, linedup, neardup, packing, rules, secrets, suffix
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix.query,
         "op3_secret_scan": secrets.query,
+        "op4_nnls_packing": packing.query,
         "op5_adaptive_rules": rules.query,
         "op6_bpe_codec": bpe.query,
         "op8_license_scan": licenses.query,
