@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
+from lexmill.plans import documents, tables
+
+EVERY = documents.QUERIES | tables.QUERIES
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is named, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in EVERY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in EVERY.items()}
