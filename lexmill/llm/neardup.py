@@ -7,10 +7,20 @@ which documents meet.  Documents with equal sets are one node from the start.
 
 Within a bucket a few centres are compared with the members that are not yet in
 their component; centres are then done and leave the bucket, and the bucket
-ends when its members are one component.  So every two documents that share a
-bucket are compared or found connected, while rows stay linear in the bucket.
+ends when its members are one component.  What the first round leaves of a
+bucket is ended at once where it has BLOCK members or fewer: pairs of different
+components that could be linked, each in the first bucket that they share.  So
+every two documents that share a bucket are compared or found connected, while
+work for a member is bounded by BLOCK.
 Links are confirmed on the full sets, which are built again from the texts.
 
+Shingles that no other candidate has bound what two sets can share: with u of n
+shingles its own, a set shares n - u at most.  Documents and pairs that cannot
+reach the similarity by this are left out, which loses no link and keeps a
+large group of loosely similar copies from being compared pair by pair.  The
+members with the fewest shingles of their own are the centres: copies link to
+what they were copied from.
+
 Defined cases: words are what blanks (space, tab to carriage return) leave
 after A-Z is lower-cased; fewer words than a shingle count as one shingle; a
 null or blank text has the empty set and is linked with nothing; rows repeated
@@ -26,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, per_text, table, texts_of
+from lexmill.llm.common import cut, per_text, slices, table, texts_of
 from lexmill.llm.graph import components
 
 WORDS, PERCENT = 5, 85
 ROWS, BANDS = 5, 28
-#: Centres of a bucket in each round after the first: most buckets then end in two rounds.
-CENTRES = 48
+#: Centres of a bucket in each round after the first, and members up to which a bucket is ended at once, pair by pair.
+CENTRES, BLOCK = 48, 2048
 CACHE = 250_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,6 +140,22 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     return per_text(docs, work, fields, "n_shingles long, set_key binary, bands array<long>", binary=True, chunk=1 << 22)
 
 
+def own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """node and u: how many of its shingles no other of the texts has.  Shingles are told apart by 32 bits, so that u is rather too small."""
+
+    def run(batches):
+        shingler = Shingler(size)
+        for batch in batches:
+            for part in slices(batch, 1 << 22):
+                sets = [np.unique((shingler.set_of(t) >> np.uint64(32)).astype(np.uint32)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                nodes = np.repeat(part.column(0).to_numpy(), [s.size for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int32)), pa.array(nodes)], names=["shingle", "node"])
+
+    each = texts.select("doc_id", "text").mapInArrow(run, "shingle int, node long")
+    single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return cut(single.groupBy("node").agg(F.count(F.lit(1)).alias("u")))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     member = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -157,32 +183,47 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     sketched = cut(sketches(texts, size, rows, bands))
     full = sketched.filter("n_shingles > 0")
     # One node for each set: the smallest id that has it.
-    nodes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("bucket"))
+    nodes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("buckets", F.transform("bands", lambda k, i: F.xxhash64(i, k))).drop("bands"))
+    members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     members = cut(members.join(cut(crowded).hint("merge"), "bucket"))
+    where = nodes.select("node", "buckets")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     own = cut(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
+    members = members.join(own_shingles(own, size).hint("merge"), "node", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
+    members = cut(members.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent))
+
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
     labels = None
-    alive = members.select("bucket", "node", "n", F.col("node").alias("component"))
+    alive = members.select("bucket", "node", "n", "u", F.col("node").alias("component"))
+
+    def possible(xn, xu, yn, yu):
+        """Whether two sets can be similar enough, by their sizes and what is their own."""
+        common = F.least(xn - xu, yn - yu)
+        return common * 100 >= (xn + yn - common) * percent
+
     first = True
     while True:
         # Buckets of one component are done.
         ways = 1 if first else CENTRES
         lot = F.pmod(F.xxhash64("node"), F.lit(ways))
-        picks = [F.min(F.when(lot == j, F.struct("node", "n", "component"))).alias(f"c{j}") for j in range(ways)]
-        centres = alive.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *picks).filter("low < high").select("bucket", F.filter(F.array(*(f"c{j}" for j in range(ways))), lambda c: c.isNotNull()).alias("centres"))
-        met = cut(alive.join(cut(centres).hint("merge"), "bucket"))
-        pairs = (
-            met.select("node", "n", "component", F.explode("centres").alias("c"))
-            .filter("component <> c.component and node <> c.node")
-            .filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
-            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-            .distinct()
-        )
+        picks = [F.min(F.when(lot == j, F.struct("u", "node", "n", "component"))).alias(f"c{j}") for j in range(ways)]
+        state = alive.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), *picks).filter("low < high")
+        state = cut(state.select("bucket", (F.col("size") <= (0 if first else BLOCK)).alias("small"), F.filter(F.array(*(f"c{j}" for j in range(ways))), lambda c: c.isNotNull()).alias("centres")))
+        met = cut(alive.join(state.filter("not small").drop("small").hint("merge"), "bucket"))
+        could = lambda c: (c["component"] != F.col("component")) & possible(c["n"], c["u"], F.col("n"), F.col("u"))
+        pairs = met.select("node", F.explode(F.transform(F.filter("centres", could), lambda c: c["node"])).alias("c")).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+        if not first:
+            few = cut(alive.join(state.filter("small").select("bucket").hint("merge"), "bucket").join(where.hint("merge"), "node"))
+            x, y = few.alias("x"), few.alias("y")
+            shared = F.zip_with("x.buckets", "y.buckets", lambda p, q: p == q)
+            here = F.element_at("x.buckets", F.array_position(shared, F.lit(True)).cast("int")) == F.col("x.bucket")
+            able = possible(F.col("x.n"), F.col("x.u"), F.col("y.n"), F.col("y.u"))
+            whole = x.join(y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & able & here)
+            pairs = pairs.unionByName(whole.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        pairs = pairs.distinct()
         for done in tried:
             pairs = pairs.join(done.hint("merge"), ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -193,14 +234,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 links.append(found)
                 labels = cut(components(reduce(DataFrame.unionByName, links)))
         # The centres have met every member: they leave.
-        left = met.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).select("bucket", "node", "n")
-        if left.isEmpty():
-            break
+        left = met.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).select("bucket", "node", "n", "u")
         if labels is not None:
-            left = left.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+            left = left.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", "u", F.coalesce("component", "node").alias("component"))
         else:
             left = left.withColumn("component", F.col("node"))
         alive, first = cut(left), False
+        if alive.isEmpty():
+            break
     result = sketched.select("doc_id", "n_shingles", "set_key")
     named = nodes.select("set_key", "node")
     if labels is not None:
