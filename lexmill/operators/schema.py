@@ -158,6 +158,10 @@ def parsed(docs: DataFrame, root: FieldInfo, raw_col: str = "_raw") -> DataFrame
     return docs.withColumn("doc", F.from_json(raw_col, root.spark))
 
 
+def member(name: str):
+    return lambda x: x.getField(name)
+
+
 def values(doc: Column, root: FieldInfo, path: str) -> Column:
     """All values of a dotted path: an array, elements of nested arrays in order; a plain path gives one."""
     out, many = doc, False
@@ -165,7 +169,7 @@ def values(doc: Column, root: FieldInfo, path: str) -> Column:
         if part == "$items":
             out, many = (F.flatten(out) if many else out), True
         else:
-            out = F.transform(out, lambda x, p=part: x.getField(p)) if many else out.getField(part)
+            out = F.transform(out, member(part)) if many else out.getField(part)
     return out if many else F.array(out)
 
 
