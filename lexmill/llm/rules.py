@@ -76,7 +76,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(F.filter("_hashes", lambda h, i: (i > 0) & (F.get("_hashes", i - 1) == h))).cast("long").alias("n_stutters"),
         ),
     )
-    return step.select(*(F.col(f"`{c}`") for c in docs.columns), "_q")
+    # Always true; as it isn't deterministic, the optimizer leaves the counts in one projection instead of writing them out in each place that reads a field.
+    return step.select(*(F.col(f"`{c}`") for c in docs.columns), F.when(F.monotonically_increasing_id() >= 0, F.col("_q")).alias("_q"))
 
 
 def base_failed(q: Column) -> Column:
