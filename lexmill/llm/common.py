@@ -40,6 +40,11 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def held(docs: DataFrame, **named: str) -> DataFrame:
+    """Each row in a struct ``_row``, so that no name of its columns can clash, and the named columns beside it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(f"`{c}`").alias(k) for k, c in named.items()))
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, id and text; a null text counts as empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

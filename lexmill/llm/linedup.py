@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, held, table
 
 MIN_WORDS = 10
 SPACE = "[ \\x09-\\x0D]"
@@ -117,10 +117,11 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int, int]
 
 
 def rebuilt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with a struct column ``_lines`` (text, n_lines, n_removed, n_runs)."""
+    """Each row in a struct ``_row``, and a struct ``_lines`` (text, n_lines, n_removed, n_runs)."""
     later = later_copies(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(later.hint("merge"), (F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
+    text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
+    rows = held(docs, _text=text_col, _own=id_col)
+    joined = rows.join(later.hint("merge"), (F.coalesce(F.col("_own").cast("long"), F.lit(-(1 << 63))) == F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long, n_runs long")
     def clean(texts, runs):
@@ -136,12 +137,12 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` without later copies of repeated runs of lines; a document of which nothing stays is dropped."""
     done = rebuilt(docs, id_col, text_col, min_words)
     changed = F.col("_lines.n_removed") > 0
-    return done.filter(~(changed & (F.col("_lines.text") == ""))).select(*(F.when(changed, F.col("_lines.text")).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return done.filter(~(changed & (F.col("_lines.text") == ""))).select(*(F.when(changed, F.col("_lines.text")).otherwise(F.col(f"_row.`{c}`")).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = rebuilt(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.n_runs", F.sha2(F.col("_lines.text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("_row.doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.n_runs", F.sha2(F.col("_lines.text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = f"""

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import rules
-from lexmill.llm.common import table
+from lexmill.llm.common import held, table
 
 MAX_ROWS = 12_000
 FOLDS, CUTOFF = 5, 0.3
@@ -171,8 +171,8 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``_score``."""
-    out = statistics(docs, text_col)
-    return out.withColumn("_score", model.column()).select(*(F.col(f"`{c}`") for c in docs.columns), "_score")
+    out = statistics(held(docs, _text=text_col), "_text")
+    return out.withColumn("_score", model.column()).select("_row.*", "_score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import cut, held, table
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Documents a group needs for thresholds of its own.
@@ -133,19 +133,19 @@ def judged(q: DataFrame, limits: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    return measured(docs, text_col).withColumns({"_lang": group(lang_col), "_source": group(source_col)})
+    return measured(held(docs, _text=text_col, _lang=lang_col, _source=source_col), "_text").withColumns({"_lang": group("_lang"), "_source": group("_source")})
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with its columns.  Counts are made twice, so that texts need not be moved."""
     q = grouped(docs, text_col, lang_col, source_col)
     limits = cut(fences(q))
-    return judged(q, limits).filter("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged(q, limits).filter("_kept").select("_row.*")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row a document: counts, base_failed, kept."""
-    q = cut(grouped(docs, text_col, lang_col, source_col).select(F.col(id_col).alias("doc_id"), "_lang", "_source", "_q"))
+    q = cut(grouped(docs, text_col, lang_col, source_col).select(F.col(f"_row.`{id_col}`").alias("doc_id"), "_lang", "_source", "_q"))
     return judged(q, cut(fences(q))).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", base_failed(F.col("_q")).alias("base_failed"), F.col("_kept").alias("kept"))
 
 

@@ -63,5 +63,5 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def clashing(docs):
     """More columns, of names that the operators might use themselves, in other letters too."""
-    names = "bucket node rank th pos runs kept spans bands component n_words _q _x _lang _fold sha first last DOC_KEY".split()
+    names = "bucket node rank th pos runs kept spans bands component n_words _q _x _lang _row _text _own _lines _runs _words _fold sha first last DOC_KEY".split()
     return docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))

@@ -112,7 +112,7 @@ def test_lines_against_all_runs(spark, docs, rows):
     few = [(i, t) for i, t in rows if i not in (13, 14)]
     more = [(30, "a b\nc d\na b c d e f g h i j k l\nx"), (31, "q\na b c d e f g h i j k l\nx\na b"), (32, "\n".join(["same line here"] * 9)), (33, "same line here\n" * 5)]
     table = spark.createDataFrame([*few, *more], "doc_id long, text string")
-    done = linedup.rebuilt(table).select("doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.n_runs").distinct()
+    done = linedup.rebuilt(table).select("_row.doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.n_runs").distinct()
     assert {tuple(r) for r in done.collect()} == brute_lines([*few, *more])
 
 

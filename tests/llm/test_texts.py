@@ -25,7 +25,7 @@ SECRETS = [
 def der_key() -> bytes:
     def item(tag, body):
         size = len(body)
-        return bytes([tag, size]) + body if size < 128 else bytes([tag, 0x82]) + struct.pack(">H", size) + body
+        return bytes([tag, size] if size < 128 else [tag, 0x81, size] if size < 256 else [tag, 0x82, *divmod(size, 256)]) + body
 
     return item(0x30, item(0x02, b"\x00") + item(0x02, bytes(range(1, 129))) + item(0x02, b"\x01\x00\x01"))
 
