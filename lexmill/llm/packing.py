@@ -273,7 +273,8 @@ PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  ``window`` is a power of two."""
-    rows = numbered(counted(docs, path or default_path(), window))
+    # Written first: the range sort reads its input twice, to draw borders and to deal.
+    rows = numbered(cut(counted(docs, path or default_path(), window)))
     # A part holds a range of tails, so this has no more rows than parts and lengths together.
     tally = rows.groupBy("part", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("whole")).alias("whole")).orderBy("part", "tail").collect()
     counts = np.zeros(window, np.int64)
