@@ -59,7 +59,7 @@ def test_documents_are_added_found_and_removed(engine):
     with pytest.raises(InvalidFormat):
         engine.add_documents("dishes", json.dumps(dish(20, "x", 1) | {"score": 3}))
     with pytest.raises(InvalidFormat):
-        engine.add_documents("dishes", json.dumps({"docs": [dish(21, "new one", 1), dish(22, "bad", "x"), dish(23, "late", 1)]}), on_error="prefix")
+        engine.add_documents("dishes", json.dumps({"docs": [dish(21, "new one", 1), dish(22, "bad", 1) | {"rank": "x"}, dish(23, "late", 1)]}), on_error="prefix")
     assert engine.contains("dishes", 21) and not engine.contains("dishes", 23)
     engine.remove_documents("dishes", [21, 11])
     with pytest.raises(NotFound):
