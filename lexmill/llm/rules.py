@@ -7,6 +7,14 @@ rejected where a ratio lies beyond its group's fence: the quartile plus a
 multiple of the quartiles' distance, and at least a margin that keeps ordinary
 spread within.
 
+Where a quarter of a group is bad, its far quartile is of the bad ones.  So a
+fence goes no further than the larger of two others: the next wider group's, and
+one from the near side, the near quartile plus a multiple of what lies between
+it and the twentieth next to the end.  That holds up to three quarters of bad
+ones, and a group that is unlike the wider ones as a whole keeps a fence of its
+own.  All documents have no wider group: there the near side binds alone, for
+ratios with both fences from the median, as either end may be the bad one.
+
 Defined cases: a null or blank text has no words and fails the base rules; null
 languages and sources are groups of their own; repeated rows are judged each;
 columns of the input are left alone, whatever their names.
@@ -103,22 +111,42 @@ def fences(q: DataFrame, lang: str = "_lang", source: str = "_source") -> DataFr
     own = values.groupBy(lang, source).agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"kll_sketch_agg_double({k}, {SKETCH_K})").alias(k) for k in FENCES))
     own = cut(own)
     merged = [F.sum("n").alias("n"), *(F.expr(f"kll_merge_agg_double({k}, {SKETCH_K})").alias(k) for k in FENCES)]
-    wider, widest = own.groupBy(lang).agg(*merged), limits_of(own.agg(*merged)).first()
-    levels = limits_of(own, lang, source).join(limits_of(wider, lang).select(F.col(lang).alias("_wider"), F.struct(F.col("n"), *LIMITS).alias("l1")), F.col(lang) == F.col("_wider"))
-    chosen = [F.when(F.col("n") >= GROUP_MIN, F.col(c)).when(F.col("l1.n") >= GROUP_MIN, F.col(f"l1.{c}")).otherwise(F.lit(widest[c]).cast("double")).alias(c) for c in LIMITS]
+    widest = limits_of(own.agg(*merged), alone=True).select(*(bounded(c, F.col(f"near_{c}")).alias(c) for c in LIMITS)).first()
+    limit = {c: F.lit(widest[c]).cast("double") for c in LIMITS}
+    wider = limits_of(own.groupBy(lang).agg(*merged), lang).select(F.col(lang).alias("_wider"), F.struct("n", *(bounded(c, further(c, limit[c])).alias(c) for c in LIMITS)).alias("l1"))
+    levels = limits_of(own, lang, source).join(wider, F.col(lang) == F.col("_wider"))
+    chosen = [F.when(F.col("n") >= GROUP_MIN, bounded(c, further(c, F.col(f"l1.{c}")))).when(F.col("l1.n") >= GROUP_MIN, F.col(f"l1.{c}")).otherwise(limit[c]).alias(c) for c in LIMITS]
     return levels.select(F.col(lang).alias("_f_lang"), F.col(source).alias("_f_source"), *chosen)
 
 
 LIMITS = [f"{side}_{k}" for k in FENCES for side in ("low", "high")]
 
 
-def limits_of(sketches: DataFrame, *by: str) -> DataFrame:
-    """Group columns, n and the LIMITS that the sketches of each group give."""
+def bounded(limit: str, bound: Column) -> Column:
+    """The limit, but no further out than ``bound``."""
+    return (F.greatest if limit.startswith("low") else F.least)(F.col(limit), bound)
+
+
+def further(limit: str, other: Column) -> Column:
+    """What lies further out: the near side's limit or ``other``."""
+    return (F.least if limit.startswith("low") else F.greatest)(F.col(f"near_{limit}"), other)
+
+
+def limits_of(sketches: DataFrame, *by: str, alone: bool = False) -> DataFrame:
+    """Group columns, n, the LIMITS that the sketches of each group give, and as near_<limit> those from the near side; ``alone``: no wider group bounds them."""
     out = []
     for k, (reach, below, above) in FENCES.items():
-        q1, q3 = (F.expr(f"kll_sketch_get_quantile_double({k}, {p})") for p in (0.25, 0.75))
-        low, high = (F.when(F.col("n") > 0, x) for x in (q1 - F.greatest(reach * (q3 - q1), F.lit(below)) if below is not None else F.lit(None).cast("double"), q3 + F.greatest(reach * (q3 - q1), F.lit(above))))
-        out += [low.alias(f"low_{k}"), high.alias(f"high_{k}")]
+        at = lambda p: F.expr(f"kll_sketch_get_quantile_double({k}, {p})")  # noqa: B023, E731
+        q1, q3 = at(0.25), at(0.75)
+        near, end = (0.5, 0.25) if alone and below is not None else (0.25, 0.05)
+        none = F.lit(None).cast("double")
+        found = {
+            f"low_{k}": q1 - F.greatest(reach * (q3 - q1), F.lit(below)) if below is not None else none,
+            f"high_{k}": q3 + F.greatest(reach * (q3 - q1), F.lit(above)),
+            f"near_low_{k}": at(1 - near) - F.greatest(2 * reach * (at(1 - end) - at(1 - near)), F.lit(below)) if below is not None else none,
+            f"near_high_{k}": at(near) + F.greatest(2 * reach * (at(near) - at(end)), F.lit(above)),
+        }
+        out += [F.when(F.col("n") > 0, x).alias(c) for c, x in found.items()]
     return sketches.select(*by, "n", *out)
 
 

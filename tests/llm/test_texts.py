@@ -101,6 +101,33 @@ def test_rules_fences(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def symbols(n: int, word: str) -> str:
+    """``n`` different words of symbols."""
+    return "".join(f"{word}{k} " for k in range(n))
+
+
+@pytest.mark.parametrize("share", [30, 45, 60])
+def test_rules_reject_the_bad_of_a_bad_source(spark, share):
+    """A source of which much is bad, beside clean ones, one of them of another kind as a whole."""
+    from .conftest import SCHEMA, prose
+
+    bad = lambda k: symbols(60 + k % 30, "<%$#&|") + prose(5000 + k, 40) if k % 2 else " ".join(f"{w}{'abcdefghij' * 2}{k}" for w in prose(5000 + k, 30).split())
+    rows = [(k, prose(k, 40), "en", "clean") for k in range(900)]
+    rows += [(1000 + k, symbols(30 + k % 20, "#$") + prose(1000 + k, 40), "en", "code") for k in range(250)]
+    rows += [(2000 + k, bad(k) if k < 3 * share else prose(2000 + k, 40), "en", "junk") for k in range(300)]
+    kept = {r["doc_id"] for r in rules.verdicts(spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)).filter("kept").collect()}
+    assert kept == {i for i, *_ in rows if not 2000 <= i < 2000 + 3 * share}
+
+
+@pytest.mark.parametrize("share,text", [(60, symbols(60, "<%$#&|")), (40, "abcdefghijklmnopqrstuvwxyz" * 20 + " ")])
+def test_rules_reject_the_bad_of_an_only_source(spark, share, text):
+    from .conftest import SCHEMA, prose
+
+    rows = [(k, (text if k < 3 * share else "") + prose(k, 40), "en", "junk") for k in range(300)]
+    kept = {r["doc_id"] for r in rules.verdicts(spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)).filter("kept").collect()}
+    assert kept == set(range(3 * share, 300))
+
+
 def test_rules_empty_and_clashing(empty, docs, clashing):
     assert rules.verdicts(empty).collect() == [] and rules.keep(empty).collect() == []
     out = rules.keep(clashing)
