@@ -1,10 +1,12 @@
 """Licence scans: a positional index of rare licence words.
 
 Every licence word gets an inverse document frequency counted over the whole
-corpus.  A file looks up its rarest licence words in the positional postings
-of the templates; postings that agree on the relative position (template start
-in the file) vote for an alignment; an alignment that gathers enough of its
-template's weight and holds the template's mandatory key phrase gives a label.
+corpus.  A file in which a template's mandatory key phrase stands looks up the
+template's rarest words in its positional postings; postings that agree on the
+relative position (template start in the file) vote for an alignment; an
+alignment that gathers enough of its template's weight and holds the key phrase
+gives a label.  The rarest words are as many as weigh more than an alignment
+may miss, so every alignment with enough weight has a vote.
 
 Defined cases: a null or empty text has no words, no labels and score 0; places
 of base phrases may overlap; repeated rows are scanned each.  ``score`` is the
@@ -51,7 +53,9 @@ TEMPLATES = (
 #: Lower-cases A-Z and makes every byte outside [a-z0-9] and above 0x7F a blank; as UTF-8 is treated bytewise, each other character stays whole.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-LOOKUPS, LEAST_SHARE = 24, 0.6
+LEAST_SHARE = 0.6
+#: Slack for sums of weights.
+EPSILON = 1e-9
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -85,13 +89,21 @@ class Index:
 
     def __init__(self, frequencies: dict[bytes, int], rows: int):
         self.idf = {w: math.log(1 + (rows + 0.5) / (frequencies.get(w, 0) + 0.5)) for w in VOCABULARY}
+        #: Of each word, the templates among whose rarest words it is, with its places there.
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.total: list[float] = []
-        for t, (_, _, text) in enumerate(TEMPLATES):
-            words = text.encode().split()
-            for at, w in enumerate(words):
-                self.postings[w].append((t, at))
+        self.reach: list[float] = []
+        self.templates = [text.encode().split() for _, _, text in TEMPLATES]
+        for t, words in enumerate(self.templates):
             self.total.append(sum(self.idf[w] for w in words))
+            reach = 0.0
+            for w in sorted(set(words), key=lambda w: (-self.idf[w], w)):
+                if reach > (1 - LEAST_SHARE) * self.total[t] + EPSILON:
+                    break
+                places = [at for at, x in enumerate(words) if x == w]
+                self.postings[w] += [(t, at) for at in places]
+                reach += self.idf[w] * len(places)
+            self.reach.append(reach)
         self.keys = [b" " + key.encode() + b" " for _, key, _ in TEMPLATES]
         self.sizes = [len(text.split()) for _, _, text in TEMPLATES]
         self.bases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES.items()]
@@ -114,25 +126,29 @@ class Index:
         labels, score = set(base), 0.0
         possible = [t for t, key in enumerate(self.keys) if key in line]
         if possible:
-            rare = set(sorted(known, key=lambda w: (-self.idf[w], w))[:LOOKUPS])
-            votes: dict[tuple[int, int], float] = defaultdict(float)
+            wanted = set(possible)
+            postings = {w: found for w in known if (found := [x for x in self.postings.get(w, ()) if x[0] in wanted])}
+            votes: dict[int, dict[int, float]] = {t: defaultdict(float) for t in possible}
             for at, w in enumerate(words):
-                if w in rare:
-                    for t, place in self.postings[w]:
-                        votes[t, at - place] += self.idf[w]
+                if w in postings:
+                    for t, place in postings[w]:
+                        votes[t][at - place] += self.idf[w]
             for t in possible:
-                size, key = self.sizes[t], self.keys[t]
-                reach = sum(self.idf[w] for w in TEMPLATES[t][2].encode().split() if w in rare)
-                for (_, begin), _ in sorted((x for x in votes.items() if x[0][0] == t and x[1] >= LEAST_SHARE * reach), key=lambda x: (-x[1], x[0])):
+                size, key, template, total = self.sizes[t], self.keys[t], self.templates[t], self.total[t]
+                rest, best = total - self.reach[t], 0.0
+                for begin, vote in sorted(votes[t].items(), key=lambda x: (-x[1], x[0])):
+                    # The most that this alignment, or one with fewer votes, can match.
+                    most = (vote + rest) / total + EPSILON
+                    if most < LEAST_SHARE or most <= best + 2 * EPSILON:
+                        break
                     place = words[max(0, begin) : max(0, begin + size)]
                     if key not in b" " + b" ".join(place) + b" ":
                         continue
-                    template = TEMPLATES[t][2].encode().split()
-                    share = sum(self.idf[w] for k, w in enumerate(template) if 0 <= begin + k < len(words) and words[begin + k] == w) / self.total[t]
-                    if share >= LEAST_SHARE:
-                        labels.add(TEMPLATES[t][0])
-                        score = max(score, min(1.0, share))
-                        break
+                    share = sum(self.idf[w] for k, w in enumerate(template) if 0 <= begin + k < len(words) and words[begin + k] == w) / total
+                    best = max(best, share)
+                if best >= LEAST_SHARE:
+                    labels.add(TEMPLATES[t][0])
+                    score = max(score, min(1.0, best))
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 

@@ -82,6 +82,33 @@ def test_licenses_by_template():
     assert index.scan(b"any person obtaining permission for a copy of this software charge free without restriction hereby")[5] == ""
 
 
+def every_alignment(index: licenses.Index, text: bytes) -> tuple[set[str], float]:
+    """Labels and score of the templates by trying every place."""
+    words, labels, score = licenses.words_of(text), set(), 0.0
+    for t, (label, _, template) in enumerate(licenses.TEMPLATES):
+        want = template.encode().split()
+        for begin in range(1 - len(want), len(words)):
+            share = sum(index.idf[w] for k, w in enumerate(want) if 0 <= begin + k < len(words) and words[begin + k] == w) / index.total[t]
+            if share >= licenses.LEAST_SHARE and index.keys[t] in b" " + b" ".join(words[max(0, begin) : max(0, begin + len(want))]) + b" ":
+                labels.add(label)
+                score = max(score, min(1.0, share))
+    return labels, score
+
+
+@pytest.mark.parametrize("frequencies", [{}, {w: 900 if len(w) > 5 else 3 for w in licenses.VOCABULARY}])
+def test_licenses_of_long_notices(frequencies):
+    """Files of many licences, whole and with every fourth word changed, against every alignment."""
+    index = licenses.Index(frequencies, 1000)
+    texts = [t for _, _, t in licenses.TEMPLATES]
+    files = [" ; ".join(texts), " and ".join(reversed(texts)), *texts]
+    files += [" ".join("changed" if k % 4 == j else w for k, w in enumerate(f.split())) for f in files for j in range(4)]
+    assert set(index.scan(files[0].encode())[5].split(",")) == {label for label, _, _ in licenses.TEMPLATES}
+    for f in files:
+        found = index.scan(f.encode())
+        labels, score = every_alignment(index, f.encode())
+        assert set(filter(None, found[5].split(","))) == labels | set(filter(None, found[4].split(","))) and found[6] == pytest.approx(score), f
+
+
 def test_rules_counts(docs, rows):
     found = [tuple(r)[1:7] for r in rules.verdicts(docs).orderBy("doc_id").collect()]
     assert found == [rules.brute_force(t) for _, t in sorted(rows, key=lambda x: x[0])]
