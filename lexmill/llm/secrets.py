@@ -3,8 +3,9 @@
 Three base patterns (assignments, access keys, hex runs) are reported as they
 stand.  On top, base64 and hex candidates are decoded, and those whose bytes
 parse as a key encoding (nested DER lengths, SSH length-prefixed fields, PEM
-armour) or whose text parses as a signed token (JSON header with ``alg``) add
-spans of their own.
+armour, also with escaped line ends or head lines and an encrypted body) or
+whose text parses as a signed token (JSON header with ``alg``, looked for at each
+place that may begin one) add spans of their own.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned
 each; a span is ``kind:start:end`` in code points, end exclusive; spans are
@@ -17,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,21 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 #: A base pattern drops short matches; for these two, which match whole runs, a lower bound on the run says the same.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+#: Base64 of a brace and what may follow it in JSON (a quote and what begins a name, or blanks): how the header of a signed token starts.
+HEADERS = ("eyI", "eyJ", "eyL", "eyA", "ewo", "ew0", "ewk")
+HEADER = re.compile("|".join(HEADERS))
+JSON, BLANK_END = json.JSONDecoder(), re.compile(r"[ \t\r\n]*\Z")
+#: A brace and a first name: a cheap test before JSON is read, whose errors count the lines before them.
+FIRST_NAME = re.compile(r'\{[ \t\r\n]*"(?:[^"\\\x00-\x1F]|\\.)*+"[ \t\r\n]*:')
+#: A dotted run of three parts; the next may begin at its second part, so it is looked for at every part.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*))")
+#: The body reaches up to the next five dashes; what it holds is looked at by armoured().
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
+#: Ends of lines as strings in source code and JSON spell them, and what JSON writers escape in base64.
+ESCAPES = ((re.compile(r"\\+r\\+n|\\+[rnt]|\\+u000[aAdD9]|\\+(?=\s)"), "\n"), (re.compile(r"\\+/"), "/"), (re.compile(r"\\+u002[bB]"), "+"), (re.compile(r"\\+u002[fF]"), "/"), (re.compile(r"\\+u003[dD]"), "="))
+#: A line of the head of a PEM body; base64 has no colon.
+HEAD_LINE = re.compile(r"^[\x20\t]*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*", re.MULTILINE)
+DEK = re.compile(r"^[\x20\t]*DEK-Info:[\x20\t]*([A-Za-z0-9-]+)[\x20\t]*(?:,[\x20\t]*[0-9A-Fa-f]*)?[\x20\t]*\r?$", re.MULTILINE)
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_BLOB = re.compile(r"[0-9A-Fa-f]{40,}")
 ASSIGN_MIN, DER_MIN = 8, 24
@@ -104,25 +119,65 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0] in SSH_NAMES
 
 
-def is_signed_token(text: str) -> bool:
-    """Three dotted base64url parts whose header is a JSON object with ``alg`` and whose payload is a JSON object."""
-    head, body, _ = text.split(".", 2)
-    for part, key in ((head, "alg"), (body, None)):
-        raw = decode64(part)
-        if not raw or raw[:1] != b"{":
-            return False
+def is_object(part: str, key: str | None = None) -> bool:
+    """Whether base64url text is a JSON object, with ``key`` if given."""
+    raw = decode64(part)
+    if not raw or raw[:1] != b"{":
+        return False
+    try:
+        value = json.loads(raw)
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(value, dict) and (key is None or key in value)
+
+
+def headers(part: str) -> Iterator[int]:
+    """Places from which on base64url text reads as one JSON object; each alignment is decoded once, and what isn't JSON ends at its first wrong byte."""
+    plain: dict[int, str | None] = {}
+    for h in HEADER.finditer(part):
+        shift = h.start() % 4
+        if shift not in plain:
+            raw = decode64(part[shift:])
+            plain[shift] = raw and raw.decode("latin-1")
+        at = (h.start() - shift) // 4 * 3
+        if not plain[shift] or not FIRST_NAME.match(plain[shift], at):
+            continue
         try:
-            value = json.loads(raw)
+            _, stop = JSON.raw_decode(plain[shift], at)
         except (ValueError, RecursionError):
-            return False
-        if not isinstance(value, dict) or key and key not in value:
-            return False
-    return True
+            continue
+        if BLANK_END.match(plain[shift], stop):
+            yield h.start()
+
+
+def tokens(text: str) -> set[tuple[int, int]]:
+    """Spans of signed tokens, whatever stands before the header, dotted or not."""
+    found = set()
+    for m in DOTTED.finditer(text):
+        if not is_object(m.group(2)):
+            continue
+        for at in headers(m.group(1)):
+            start = m.start(1) + at
+            if is_object(text[start : m.end(1)], "alg"):
+                found.add((start, m.end(3)))
+                break
+    return found
+
+
+def armoured(body: str) -> bool:
+    """Whether the body of PEM armour is a key: DER, SSH, or whole blocks of a cipher that a head line names."""
+    for pattern, plain in ESCAPES if "\\" in body else ():
+        body = pattern.sub(plain, body)
+    cipher = DEK.search(body)
+    raw = decode64(HEAD_LINE.sub("", body) if ":" in body else body)
+    if not raw:
+        return False
+    if cipher:
+        return len(raw) >= DER_MIN and (len(raw) % 8 == 0 or not cipher.group(1).upper().endswith(("CBC", "ECB")))
+    return is_der_key(raw) or is_ssh_key(raw)
 
 
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Base64 of a brace and what may follow it: how the header of a signed token starts.
-HEADERS = ("eyJ", "eyA", "ewo", "ew0", "ewk")
 RUN = 32
 OUTSIDE = np.ones(256, bool)
 OUTSIDE[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", np.uint8)] = False
@@ -150,11 +205,10 @@ def structural_spans(text: str, run: bool | None = None) -> list[tuple[int, int,
     """(start, kind, end) of what decodes and parses."""
     found = set()
     if any(x in text for x in HEADERS):
-        found |= {(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m.group())}
+        found |= {(start, 3, end) for start, end in tokens(text)}
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            raw = decode64(m.group(2))
-            if raw and (is_der_key(raw) or is_ssh_key(raw)):
+            if armoured(m.group(2)):
                 found.add((m.start(), 4, m.end()))
     if not (has_run(text) if run is None else run):
         return sorted(found)

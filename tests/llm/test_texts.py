@@ -55,6 +55,28 @@ def test_secrets_are_confirmed_by_structure():
         assert not secrets.structural_spans(text), text
 
 
+def test_secrets_behind_names_and_escapes():
+    """Tokens after a dotted name or glued to one, keys with escaped line ends, encrypted keys."""
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 'x'})}.c2lnbmF0dXJl"
+    for before in ("", "sessionStorage.", "session_cookie.", "window.localStorage.", "jwt_", "a.b.", "eyJeyJ-", "x" * 500):
+        text = f"see {before}{token} there"
+        assert secrets.structural_spans(text) == [(4 + len(before), 3, 4 + len(before) + len(token))], text
+        assert secrets.redact_text(text) == f"see {before}[SECRET] there"
+    der = base64.encodebytes(der_key()).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{der}-----END PRIVATE KEY-----\n"
+    cipher = base64.encodebytes(bytes(range(160))).decode()
+    encrypted = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n{cipher}-----END RSA PRIVATE KEY-----\n"
+    for plain in (pem, pem.replace("\n", "\r\n"), encrypted, encrypted.replace("\n", "\r\n")):
+        once = json.dumps({"private_key": plain})
+        for text in (plain, once, json.dumps(once), once.replace("/", "\\/"), once.replace("+", "\\u002B")):
+            assert [k for _, k, _ in secrets.structural_spans(text) if k == 4] == [4], text
+            assert der[:40] not in secrets.redact_text(text) and cipher[:40] not in secrets.redact_text(text)
+    short = encrypted.replace(cipher, base64.encodebytes(bytes(range(157))).decode())
+    for text in (short, json.dumps(pem.replace(der, der[:-12])), pem.replace(der, "not a key: at all\n\nplain words\n"), f"{pem[:60]} no end", "eyJ" * 20_000):
+        assert 4 not in {k for _, k, _ in secrets.structural_spans(text)}, text
+
+
 def test_redact_keeps_rows_and_columns(clashing):
     out = secrets.redact(clashing)
     assert out.columns == clashing.columns and out.count() == clashing.count()
