@@ -6,6 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from lexmill.llm import neardup, secrets
 
+from .conftest import SCHEMA, prose
 from .test_corpus import brute_lines
 
 CONTRACT = {
@@ -59,6 +60,17 @@ def test_stages(spark, tiny):
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def near_dedup(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA)
+    return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+
+
+def test_near_dedup_keeps_null_ids(spark):
+    """Documents without an id are told apart by their texts."""
+    kept = [(None, prose(1, 60)), (None, prose(2, 60)), (None, None), (3, prose(3, 60)), (5, prose(5, 60)), (5, prose(6, 60))]
+    assert near_dedup(spark, [*kept, (4, prose(3, 60)), (6, prose(2, 60))]) == sorted(kept, key=str)
+
+
 def test_empty_documents(spark, empty, tiny):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
