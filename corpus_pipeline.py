@@ -34,11 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest id, null before all others.
 
-    Rows are numbered in order of id and text, as null ids, or one id of several texts, don't tell documents apart.
+    Rows are numbered in order of id and text, as null ids, or one id of several texts, don't tell documents apart.  Rows
+    repeated with one id and text, blank ones too, are one document, of which one row stays.
     """
     key = ["_id", "_h1", "_h2"]
     rows = held(docs, _id="doc_id").withColumns({"_h1": F.xxhash64("_row.text"), "_h2": F.xxhash64("_row.text", F.lit(7))})
-    rows = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_number", F.monotonically_increasing_id()).drop(*key))
+    rows = cut(cut(rows.dropDuplicates(key)).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_number", F.monotonically_increasing_id()).drop(*key))
     kept = cut(neardup.groups(rows, "_number", "_row.text", percent=NEAR).filter("kept").select(F.col("doc_id").alias("_number")))
     return rows.join(kept.hint("merge"), "_number", "left_semi").select("_row.*")
 

@@ -71,6 +71,12 @@ def test_near_dedup_keeps_null_ids(spark):
     assert near_dedup(spark, [*kept, (4, prose(3, 60)), (6, prose(2, 60))]) == sorted(kept, key=str)
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    """Rows of one id and text count once, blank ones and those without an id too."""
+    kept = [(None, prose(1, 60)), (None, None), (3, prose(3, 60)), (4, ""), (5, "  ")]
+    assert near_dedup(spark, [*kept, *kept, *kept]) == sorted(kept, key=str)
+
+
 def test_empty_documents(spark, empty, tiny):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
