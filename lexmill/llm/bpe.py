@@ -3,14 +3,16 @@
 A word's tokens are first proposed by greedy longest match.  A sequence of
 tokens is the BPE encoding of its bytes if, and only if, every two adjacent
 tokens, encoded together, come out as those two tokens again; so one vectorised
-look-up of all adjacent pairs of a batch of words decides which proposals
-stand.  Words with a failing pair are merged exactly, rank by rank.
+check of all adjacent pairs of a batch of words decides which proposals stand.
+Words with a failing pair are merged exactly, rank by rank.
 
-Words repeat, so results are kept in a cache of bounded size for each task.
+Words repeat, so their ids are kept in a cache of bounded bytes for each task;
+it is emptied when the task ends, as workers stay alive.
 
 Defined cases: a null text counts as empty and has no ids; a special token's
 text within a document becomes that token, as in the library's default; ids are
-little-endian unsigned 32-bit integers.
+little-endian unsigned 32-bit integers; repeated rows are encoded each; a text
+or word may be of any length.
 """
 
 from __future__ import annotations
@@ -25,12 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.common import per_text, table, texts_of
+from lexmill.llm.merges import LONG, Merges, Trie
 
 VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of each half of a cache; the older half goes when the younger is full.
-CACHE = 120_000
-SPACED = re.compile(r"\s ")
+#: Bytes of each half of a cache, and what an entry takes beside its key and value; the older half goes when the younger is full.
+CACHE, ENTRY = 12 << 20, 180
+#: Bytes of text that are cut up at once.
+CHUNK = 1 << 22
+#: The same words, faster, for texts of characters on whose classes both modules agree: ASCII, letters of Latin, some marks.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+PLAIN = re.compile(rf" ?[{LETTERS}]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\s{LETTERS}0-9]++|\s+(?!\S)|\s+")
+ODD = re.compile("[^\\x09-\\x0D\\x20-\\x7E\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201e\u2026]")
 
 
 def default_path() -> str:
@@ -47,25 +55,40 @@ def byte_letters() -> dict[str, int]:
 
 
 class Halves(dict):
-    """A cache of at most 2 x CACHE entries: an entry that is used again moves from the older half to the younger."""
+    """A cache of bounded bytes: an entry that is used again moves from the older half to the younger."""
 
     def __init__(self):
         super().__init__()
         self.older: dict = {}
+        self.used = 0
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """Keys without an entry; those of the older half are brought over."""
-        if len(self) > CACHE:
+        if self.used > CACHE:
             self.older = dict(self)
             self.clear()
-        out = []
-        for k in set(keys).difference(self):
-            v = self.older.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self[k] = v
-        return out
+            self.used = 0
+        absent, older = keys.difference(self), self.older
+        if not older:
+            return list(absent)
+        back = list(absent.intersection(older))
+        self.keep(back, [older[k] for k in back])
+        return list(absent.difference(older))
+
+    def keep(self, keys: list, values: list[bytes]) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.used += ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+
+    def empty(self) -> None:
+        self.clear()
+        self.older = {}
+        self.used = 0
+
+
+def pieces_of(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Ids of words, one after another, as one binary a word."""
+    raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Codec:
@@ -79,61 +102,27 @@ class Codec:
         letters = byte_letters()
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
-        self.single = [self.id_of[bytes([b])] for b in range(256)]
-        raw = {t: i for t, i in model["vocab"].items()}
-        #: pair of ids -> (rank, merged id)
-        self.merge = {(raw[a], raw[b]): (rank, raw[a + b]) for rank, (a, b) in enumerate(merges)}
+        raw = model["vocab"]
+        tokens = {bytes(letters[c] for c in t): i for t, i in raw.items()}
+        self.single = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
+        self.merges = Merges([(raw[a], raw[b], raw[a + b]) for a, b in merges], max(raw.values()) + 1)
+        # A token that its own bytes are not merged to never comes out, so it is not proposed.
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat, new = self.merges.exact(self.single[np.frombuffer(b"".join(tokens), np.uint8)], sizes)
+        own = np.fromiter(tokens.values(), np.int64, len(tokens))
+        sound = (new == 1) & (flat[np.cumsum(new) - new] == own)
+        self.id_of = {t: i for (t, i), s in zip(tokens.items(), sound.tolist()) if s}
+        self.trie = Trie(self.id_of)
         self.longest = max(map(len, self.id_of))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of: dict[int, bytes] = {i: t for t, i in tokens.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words_in = regex.compile(PATTERN).findall
-        self.pairs: dict[int, bool] = {}
-        self.units, self.firsts, self.words = Halves(), Halves(), Halves()
-
-    def exact(self, word: bytes) -> list[int]:
-        """Merge the pair of lowest rank, leftmost first, until none is left."""
-        ids = [self.single[b] for b in word]
-        merge = self.merge
-        if len(ids) > 64:
-            return self.exact_long(ids)
-        while len(ids) > 1:
-            best = min(((m[0], k) for k in range(len(ids) - 1) if (m := merge.get((ids[k], ids[k + 1])))), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [merge[ids[k], ids[k + 1]][1]]
-        return ids
-
-    def exact_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list, for words of any length."""
-        import heapq
-
-        n, merge = len(ids), self.merge
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := merge.get((ids[k], ids[k + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, k, a, b = heapq.heappop(heap)
-            j = after[k]
-            if ids[k] != a or j >= n or ids[j] != b:
-                continue
-            ids[k], ids[j] = merge[a, b][1], -1
-            after[k] = after[j]
-            if after[k] < n:
-                before[after[k]] = k
-            for left in (before[k], k):
-                if left >= 0 and after[left] < n and (m := merge.get((ids[left], ids[after[left]]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[after[left]]))
-        return [i for i in ids if i >= 0]
+        self.words = Halves()
 
     def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
+        """Greedy longest match, for a long word."""
         out, at, n, ids, longest = [], 0, len(word), self.id_of, self.longest
-        if (whole := ids.get(word)) is not None:
-            return [whole]
         while at < n:
             end = min(n, at + longest)
             while (i := ids.get(word[at:end])) is None:
@@ -142,69 +131,53 @@ class Codec:
             at = end
         return out
 
-    def compatible(self, key: int) -> bool:
-        a, b = divmod(key, 1 << 20)
-        return self.exact(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The exact encoding of each word: proposals, one check of all adjacent pairs, exact merging of what fails."""
-        proposed = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((i for p in proposed for i in p), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        keys = (flat[:-1] << 20) | flat[1:] if flat.size else flat
-        inside = owner[:-1] == owner[1:]
-        keys, owner = keys[inside], owner[:-1][inside]
-        distinct, place = np.unique(keys, return_inverse=True)
-        known = self.pairs
-        if len(known) > 4 * CACHE:
-            known.clear()
-        for k in distinct.tolist():
-            if k not in known:
-                known[k] = self.compatible(k)
-        good = np.fromiter((known[k] for k in distinct.tolist()), bool, distinct.size)
-        for w in np.unique(owner[~good[place]]).tolist():
-            proposed[w] = self.exact(words[w])
-        return proposed
-
-    def _fill(self, cache: Halves, keys, lead: str) -> None:
-        """Encode the units that the cache lacks; ``lead`` stands before each."""
-        new = cache.missing(keys)
-        if not new:
-            return
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has: proposals, one check of all adjacent pairs, exact merging of what fails."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        flat, sizes = self.trie.greedy(data, starts, np.where(lengths > LONG, 0, lengths))
+        long = np.flatnonzero(lengths > LONG)
+        if long.size:
+            proposed = [np.array(self.propose(words[w]), np.int32) for w in long.tolist()]
+            flat, sizes = put(flat, sizes, long, np.concatenate(proposed), np.array([p.size for p in proposed]))
+        owner = np.repeat(np.arange(lengths.size), sizes)
+        at = np.flatnonzero(owner[1:] == owner[:-1])
+        keys, place = np.unique((flat[at].astype(np.int64) << 32) | flat[at + 1], return_inverse=True)
+        good = self.merges.compatible(keys >> 32, keys & 0xFFFFFFFF)
+        failed = np.unique(owner[at[~good[place]]])
+        if failed.size:
+            n = lengths[failed]
+            inside = np.repeat(starts[failed] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            flat, sizes = put(flat, sizes, failed, *self.merges.exact(self.single[data[inside]], n))
+        return flat, sizes
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text; a special token is one."""
         cut = self.cut_special
-        parts: list[list] = []
-        for key in new:
-            unit = lead + key
-            if cut and cut.search(unit):
-                parts.append([w for piece in cut.split(unit) for w in ([self.special[piece]] if piece in self.special else self.words_in(piece))])
-            else:
-                parts.append(self.words_in(unit))
-        fresh = self.words.missing({w for p in parts for w in p if isinstance(w, str)})
-        for w, ids in zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
-        words = self.words
-        for key, part in zip(new, parts, strict=True):
-            cache[key] = words[part[0]] if len(part) == 1 and isinstance(part[0], str) else b"".join(words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in part)
+        if cut and cut.search(text):
+            return [w for piece in cut.split(text) for w in ([piece] if piece in self.special else self.cut(piece))]
+        return self.words_in(text) if ODD.search(text) else PLAIN.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.  A text is cut before blanks that follow a letter or sign: no word reaches over such a place."""
-        cut = []
-        for text in texts:
-            pieces = text.split(" ")
-            if SPACED.search(text):
-                merged = [pieces[0]]
-                for before, piece in zip(pieces, pieces[1:]):
-                    if len(merged) > 1 and (not before or before[-1].isspace()) or len(merged) == 1 and before and before[-1].isspace():
-                        merged[-1] += " " + piece
-                    else:
-                        merged.append(piece)
-                pieces = merged
-            cut.append(pieces)
-        self._fill(self.firsts, {p[0] for p in cut}, "")
-        self._fill(self.units, {u for p in cut for u in p[1:]}, " ")
-        get, first = self.units.__getitem__, self.firsts
-        return [first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        """Ids of each text."""
+        parts = [self.cut(t) for t in texts]
+        distinct: set[str] = set()
+        for words in parts:
+            distinct.update(words)
+        new = self.words.missing(distinct)
+        special = [w for w in new if w in self.special] if self.special else []
+        if special:
+            self.words.keep(special, [self.special[w].to_bytes(4, "little") for w in special])
+            new = [w for w in new if w not in self.special]
+        if new:
+            self.words.keep(new, pieces_of(*self.encode_words([w.encode() for w in new])))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in parts]
+
+    def release(self) -> None:
+        """Empty the cache."""
+        self.words.empty()
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """Bytes that the ids stand for, as UTF-8 with invalid parts replaced."""
@@ -212,6 +185,18 @@ class Codec:
         return raw.decode("utf-8", "replace").encode()
 
 
+def put(flat: np.ndarray, sizes: np.ndarray, rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words' ids, one after another, and their numbers, with those of the words ``rows`` (in order) replaced."""
+    total = sizes.copy()
+    total[rows] = counts
+    fresh = np.zeros(sizes.size, bool)
+    fresh[rows] = True
+    out, which = np.empty(int(total.sum()), np.int32), np.repeat(fresh, total)
+    out[which] = ids
+    out[~which] = flat[~np.repeat(fresh, sizes)]
+    return out, total
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -224,7 +209,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def work():
         return lambda texts: [codec(path).encode(texts)]
 
-    return per_text(texts_of(docs, id_col, text_col), work, [("ids", pa.binary())], "ids binary", chunk=1 << 23)
+    return per_text(texts_of(docs, id_col, text_col), work, [("ids", pa.binary())], "ids binary", chunk=CHUNK, after=lambda: codec(path).release())
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -254,7 +239,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         return apply
 
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return per_text(texts_of(docs), work, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", chunk=1 << 23)
+    return per_text(texts_of(docs), work, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string", chunk=CHUNK, after=lambda: codec(path).release())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
