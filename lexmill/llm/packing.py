@@ -21,19 +21,25 @@ packed each.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.bpe import Halves
+from lexmill.llm.bpe import CHUNK, ODD, Halves, byte_letters, pieces_of
 from lexmill.llm.common import cut, per_text, table, texts_of
+from lexmill.llm.merges import Merges
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END = 4096, 2
+#: Words of a text in lower case without odd characters.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+WORD = re.compile(rf"[{LETTERS}]++|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s{LETTERS}0-9]++")
 #: Combinations enumerated, and lengths in one.
 COMBINATIONS, DEPTH = 20_000, 8
 STEPS = 300
@@ -46,26 +52,63 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops blanks: a text's ids are those of its blank-delimited pieces, which are kept."""
+    """Ids of whole texts by a tokenizer that folds case and drops blanks.
+
+    Texts of characters on which Unicode versions agree are cut into words here, and words are merged many at once, each
+    kept in a cache; other texts and those that may hold a special token go to the library.
+    """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        raw, letters = spec["model"]["vocab"], byte_letters()
+        suffix = spec["model"]["end_of_word_suffix"] or ""
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        self.path = path
+        self.merges = Merges([(raw[a], raw[b], raw[a + b]) for a, b in merges], max(raw.values()) + 1)
+        #: Ids of bytes within a word and at its end.
+        self.inner, self.last = np.zeros(256, np.int32), np.zeros(256, np.int32)
+        for letter, byte in letters.items():
+            self.inner[byte], self.last[byte] = raw[letter], raw[letter + suffix]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.words = Halves()
+
+    @cached_property
+    def library(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.pieces = Halves()
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return tokenizer
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are not empty."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids, ends = self.inner[data], np.cumsum(sizes) - 1
+        ids[ends] = self.last[data[ends]]
+        return pieces_of(*self.merges.exact(ids, sizes))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut_up = [t.split() for t in texts]
-        new = self.pieces.missing({p for pieces in cut_up for p in pieces})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut_up]
+        parts: list[list[str] | bytes] = []
+        distinct: set[str] = set()
+        for text in texts:
+            if ODD.search(text) or any(t in text for t in self.special):
+                parts.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                parts.append(WORD.findall(text.lower()))
+                distinct.update(parts[-1])
+        new = self.words.missing(distinct)
+        if new:
+            self.words.keep(new, self.merged([w.encode() for w in new]))
+        get = self.words.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in parts]
+
+    def release(self) -> None:
+        """Empty the cache."""
+        self.words.empty()
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +127,7 @@ def counted(docs: DataFrame, path: str, window: int) -> DataFrame:
     def work():
         own, end = encoder(path), np.array([END], "<u4").tobytes()
 
-        def apply(texts: list[bytes]) -> list[list]:
+        def apply(texts: list[str]) -> list[list]:
             out: list[list] = [[], [], [], [], []]
             for ids in own.encode(texts):
                 ids += end
@@ -102,7 +145,7 @@ def counted(docs: DataFrame, path: str, window: int) -> DataFrame:
         return apply
 
     fields = [("doc_tokens", pa.int64()), ("whole", pa.list_(pa.int64())), ("tail", pa.int32()), ("tail_crc", pa.int64()), ("parts", pa.list_(pa.int64()))]
-    return per_text(texts_of(docs), work, fields, "doc_tokens long, whole array<long>, tail int, tail_crc long, parts array<long>", binary=True, chunk=1 << 23)
+    return per_text(texts_of(docs), work, fields, "doc_tokens long, whole array<long>, tail int, tail_crc long, parts array<long>", chunk=CHUNK, after=lambda: encoder(path).release())
 
 
 NUMBERED = "doc_id long, doc_tokens long, whole array<long>, tail int, tail_crc long, parts array<long>, part int, number long, before long"
