@@ -165,8 +165,8 @@ def grouped(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> D
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns.  Counts are made twice, so that texts need not be moved."""
-    q = grouped(docs, text_col, lang_col, source_col)
+    """The rows of ``docs`` that pass, with its columns.  Rows are written with their counts, which are made once."""
+    q = cut(grouped(docs, text_col, lang_col, source_col).select("_row", "_lang", "_source", "_q"))
     limits = cut(fences(q))
     return judged(q, limits).filter("_kept").select("_row.*")
 
