@@ -23,8 +23,11 @@ what they were copied from.
 
 Defined cases: words are what blanks (space, tab to carriage return) leave
 after A-Z is lower-cased; fewer words than a shingle count as one shingle; a
-null or blank text has the empty set and is linked with nothing; rows repeated
-under one id are one document; ties go to the smaller id.
+null or blank text has the empty set and is linked with nothing; a row is a
+document, told from others by id and text, so that one id may have several
+texts; a null id is one that comes before all others, and is null in
+``component_id`` too; ties go to the smaller id; texts may be of any length;
+columns of other names are left out.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, per_text, slices, table, texts_of
+from lexmill.llm.common import NO_ID, cut, drop_cut, per_text, slices, spread_join, table, texts_of
 from lexmill.llm.graph import components
 
 WORDS, PERCENT = 5, 85
@@ -118,11 +121,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands (empty where the set is)."""
+    """doc_id, th (Spark's hash of the text), n_shingles, set_key, bands (empty where the set is)."""
 
     def work():
         import hashlib
 
+        import xxhash
+
         shingler = Shingler(size)
 
         def apply(texts: list[bytes]) -> list[list]:
@@ -132,34 +137,35 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
             if full:
                 starts = np.concatenate(([0], np.cumsum([s.size for s in full])[:-1])).astype(np.int64)
                 keys = iter(signatures(np.concatenate(full), starts, rows, bands).view(np.int64).tolist())
-            return [[s.size for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [next(keys) if s.size else [] for s in sets]]
+            th = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
+            return [th, [s.size for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [next(keys) if s.size else [] for s in sets]]
 
         return apply
 
-    fields = [("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))]
-    return per_text(docs, work, fields, "n_shingles long, set_key binary, bands array<long>", binary=True, chunk=1 << 22)
+    fields = [("th", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    return per_text(docs, work, fields, "th long, n_shingles long, set_key binary, bands array<long>", binary=True, chunk=1 << 22)
 
 
 def own_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """node and u: how many of its shingles no other of the texts has.  Shingles are told apart by 32 bits, so that u is rather too small."""
+    """node and u: how many of its shingles no other of the texts(node, text) has."""
 
     def run(batches):
         shingler = Shingler(size)
         for batch in batches:
             for part in slices(batch, 1 << 22):
-                sets = [np.unique((shingler.set_of(t) >> np.uint64(32)).astype(np.uint32)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [shingler.set_of(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 nodes = np.repeat(part.column(0).to_numpy(), [s.size for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int32)), pa.array(nodes)], names=["shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], names=["shingle", "node"])
 
-    each = texts.select("doc_id", "text").mapInArrow(run, "shingle int, node long")
+    each = texts.select("node", "text").mapInArrow(run, "shingle long, node long")
     single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
     return cut(single.groupBy("node").agg(F.count(F.lit(1)).alias("u")))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    member = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    centre = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    member = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    centre = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(member.hint("merge"), "b").join(centre.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -177,22 +183,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+def keyed(texts: DataFrame) -> DataFrame:
+    """``texts`` with a key of what tells documents apart: ``id``, never null, and ``th``, the text's hash."""
+    return texts.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row a document."""
+    """One row a document: doc_id, th, n_shingles, ``first`` (id, th of its component's first document; null ids as NO_ID), component_id, kept."""
     texts = texts_of(docs, id_col, text_col)
     sketched = cut(sketches(texts, size, rows, bands))
     full = sketched.filter("n_shingles > 0")
-    # One node for each set: the smallest id that has it.
-    nodes = cut(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("buckets", F.transform("bands", lambda k, i: F.xxhash64(i, k))).drop("bands"))
-    members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = cut(members.join(cut(crowded).hint("merge"), "bucket"))
+    # One node for each set; its first document stands for it.
+    best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th"))
+    nodes = full.groupBy("set_key").agg(best.alias("best"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes.select("set_key", "best", "n", F.transform("bands", lambda k, i: F.xxhash64(i, k)).alias("buckets")).withColumn("node", F.monotonically_increasing_id()))
+    each = cut(nodes.select("node", "n", F.explode("buckets").alias("bucket")))
+    crowded = cut(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    members = cut(spread_join(each, crowded, ["bucket"], "size"))
     where = nodes.select("node", "buckets")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    own = cut(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "best.id", "best.th")
+    own = cut(keyed(texts).join(wanted.hint("merge"), ["id", "th"]).dropDuplicates(["node"]).select("node", "text"))
 
-    members = members.join(own_shingles(own, size).hint("merge"), "node", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
-    members = cut(members.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent))
+    bounded = members.join(own_shingles(own, size).hint("merge"), "node", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
+    bounded = cut(bounded.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent))
+    drop_cut(each, crowded, members)
+    members = bounded
 
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
@@ -234,26 +249,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 links.append(found)
                 labels = cut(components(reduce(DataFrame.unionByName, links)))
         # The centres have met every member: they leave.
+        gone = [alive, state, met] if first else [alive, state, met, few]
         left = met.filter(~F.exists("centres", lambda c: c["node"] == F.col("node"))).select("bucket", "node", "n", "u")
         if labels is not None:
             left = left.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", "u", F.coalesce("component", "node").alias("component"))
         else:
             left = left.withColumn("component", F.col("node"))
         alive, first = cut(left), False
+        drop_cut(*gone)
         if alive.isEmpty():
             break
-    result = sketched.select("doc_id", "n_shingles", "set_key")
-    named = nodes.select("set_key", "node")
+    named = nodes.select("set_key", "node", "best")
     if labels is not None:
-        named = cut(named.join(labels.hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")))
+        named = named.join(labels.hint("merge"), "node", "left").select("set_key", "best", F.coalesce("component", "node").alias("component"))
+        firsts = named.groupBy("component").agg(F.min("best").alias("first"))
+        named = named.join(firsts.hint("merge"), "component").select("set_key", "first")
     else:
-        named = named.withColumnRenamed("node", "component_id")
-    result = result.join(named.hint("merge"), "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        named = named.select("set_key", F.col("best").alias("first"))
+    named = cut(named)
+    itself = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
+    result = sketched.select("doc_id", "th", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left")
+    result = result.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(itself).alias("first"))
+    result = result.withColumn("component_id", F.when(F.col("first.id") != NO_ID, F.col("first.id")))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def brute_force(rows: list[tuple[int, str | None]], size: int = WORDS, percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
