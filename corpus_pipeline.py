@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import linedup, neardup, packing, rules, secrets
-from lexmill.llm.common import cut, held, table
+from lexmill.llm.common import NO_ID, cut, drop_cut, held, table
 
 #: Similarity of near-duplicates, in per cent.
 NEAR = 80
@@ -34,14 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one of the smallest id, null before all others.
 
-    Rows are numbered in order of id and text, as null ids, or one id of several texts, don't tell documents apart.  Rows
-    repeated with one id and text, blank ones too, are one document, of which one row stays.
+    Rows are told apart by id and text, as null ids, or one id of several texts, don't tell documents apart.  Rows repeated
+    with one id and text, blank ones too, are one document, of which one row stays.
     """
-    key = ["_id", "_h1", "_h2"]
-    rows = held(docs, _id="doc_id").withColumns({"_h1": F.xxhash64("_row.text"), "_h2": F.xxhash64("_row.text", F.lit(7))})
-    rows = cut(cut(rows.dropDuplicates(key)).repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_number", F.monotonically_increasing_id()).drop(*key))
-    kept = cut(neardup.groups(rows, "_number", "_row.text", percent=NEAR).filter("kept").select(F.col("doc_id").alias("_number")))
-    return rows.join(kept.hint("merge"), "_number", "left_semi").select("_row.*")
+    found = neardup.groups(docs, percent=NEAR)
+    kept = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("th").alias("_th"), "first").filter((F.col("first.id") == F.col("_id")) & (F.col("first.th") == F.col("_th"))).select("_id", "_th").distinct()
+    rows = held(docs, _own="doc_id", _text="text").select("_row", F.coalesce("_own", F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_th"))
+    return rows.join(cut(kept).hint("merge"), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop_cut(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
