@@ -14,16 +14,18 @@ each interval's first member in order of (doc_id, text, line) stays and the
 others' lines are deleted.
 
 Defined cases: a null or blank text has no lines; rows repeated under one id
-and text are one document; lines without a word stay, but a text of which no
-other line is left becomes empty; runs may overlap.
+and text are one document, of which each row loses the same lines; a null id is
+one that comes before all others; lines without a word stay, but a text of which
+no other line is left becomes empty; runs may overlap; texts may be of any
+length; columns of other names are left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, held, table
+from lexmill.llm.common import NO_ID, cut, drop_cut, held, spread_join, table
 
 MIN_WORDS = 10
 SPACE = "[ \\x09-\\x0D]"
@@ -33,7 +35,12 @@ DOC = ["doc_id", "th"]
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def line_hashes(line: Column) -> tuple[Column, Column]:
+    """Two hashes that tell lines apart.  The hash chains its arguments, so the constant comes first: after the line, it would add nothing to a hash of the line alone."""
+    return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")
 
 
 def lines(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -49,7 +56,7 @@ def lines(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def entry(x, i):
         before = F.greatest(i + 2 - min_words, F.lit(1))
         return F.struct(
-            F.xxhash64(x["line"]).alias("h1"), F.xxhash64(x["line"], F.lit(7)).alias("h2"), shortest(F.slice("full", i + 1, F.lit(min_words))).alias("wf"), shortest(F.reverse(F.slice("full", before, i + 2 - before))).alias("wb")
+            *line_hashes(x["line"]), shortest(F.slice("full", i + 1, F.lit(min_words))).alias("wf"), shortest(F.reverse(F.slice("full", before, i + 2 - before))).alias("wb")
         )
 
     return full.select(*DOC, F.posexplode(F.transform("full", entry)).alias("pos", "e")).select(*DOC, "pos", "e.*")
@@ -62,14 +69,15 @@ def ranked(classes: DataFrame, *by: str) -> DataFrame:
 
 def levels(suffixes: DataFrame, most: int) -> list[DataFrame]:
     """For 1, 2, 4, ... up to ``most`` lines: doc_id, th, pos, rank of the suffixes that share so long a prefix with others."""
-    classes = ranked(suffixes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "h1", "h2")
-    found = [cut(suffixes.select(*DOC, "pos", "h1", "h2").join(classes.hint("merge"), ["h1", "h2"]).select(*DOC, "pos", "rank").dropDuplicates([*DOC, "pos"]))]
+    classes = ranked(suffixes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "h1", "h2")
+    found = [cut(spread_join(suffixes.select(*DOC, "pos", "h1", "h2"), classes, ["h1", "h2"]).select(*DOC, "pos", "rank").dropDuplicates([*DOC, "pos"]))]
     reach = 1
     while 2 * reach <= most:
         last = found[-1]
-        pairs = cut(last.join(last.select(*DOC, (F.col("pos") - reach).alias("pos"), F.col("rank").alias("next")), [*DOC, "pos"]))
-        classes = ranked(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("first"), F.col("next").alias("second")), "first", "second")
-        found.append(cut(pairs.withColumnRenamed("rank", "first").withColumnRenamed("next", "second").join(classes.hint("merge"), ["first", "second"]).select(*DOC, "pos", "rank")))
+        pairs = cut(last.withColumnRenamed("rank", "first").join(last.select(*DOC, (F.col("pos") - reach).alias("pos"), F.col("rank").alias("second")), [*DOC, "pos"]))
+        classes = ranked(pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "first", "second")
+        found.append(cut(spread_join(pairs, classes, ["first", "second"]).select(*DOC, "pos", "rank")))
+        drop_cut(pairs, classes)
         reach *= 2
     return found
 
@@ -93,9 +101,11 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         runs = runs.unionByName(more)
     runs = cut(runs)
     key = ["w", "r1", "r2"]
-    firsts = cut(runs.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = runs.join(firsts.hint("merge"), key).filter(F.struct("doc_id", "th", "pos") != F.col("first"))
-    return cut(later.groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("pos", "w"))).alias("runs")))
+    firsts = cut(runs.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    later = spread_join(runs, firsts, key).filter(F.struct("doc_id", "th", "pos") != F.col("first"))
+    out = cut(later.groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("pos", "w"))).alias("runs")))
+    drop_cut(suffixes, long, runs, firsts, *by_level)
+    return out
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int, int]:
@@ -121,7 +131,7 @@ def rebuilt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     later = later_copies(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
     text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
     rows = held(docs, _text=text_col, _own=id_col)
-    joined = rows.join(later.hint("merge"), (F.coalesce(F.col("_own").cast("long"), F.lit(-(1 << 63))) == F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
+    joined = rows.join(later.hint("merge"), (F.coalesce(F.col("_own").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long, n_runs long")
     def clean(texts, runs):
