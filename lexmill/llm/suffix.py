@@ -21,7 +21,9 @@ are instead counted by fingerprint over all tasks, which gives the same.
 
 Defined cases: texts are UTF-8 bytes, null is empty; matches stay within a
 text; rows repeated (same id and text) are texts of their own, so that they
-repeat each other; no text is too long, as positions are per text.
+repeat each other; a null id stays null, and such documents are told apart by
+text; no text is too long, as positions are per text; columns of other names are
+left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut, table, texts_of
+from lexmill.llm.common import NO_ID, cut, drop_cut, spread_join, table, texts_of
 from lexmill.llm.neardup import mix
 
 LENGTH, STEP, GRAM = 400, 40, 32
@@ -269,10 +271,12 @@ def counted_windows(stretches: DataFrame) -> DataFrame:
 def removals(texts: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(the texts that lose something, DOC and spans): spans are sorted (start, end) of repeated windows, in bytes."""
     found = cut(anchors(texts))
-    often = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    found = cut(found.join(often.hint("merge"), "gram", "left_semi"))
+    often = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    every, found = found, cut(spread_join(found, often, ["gram"]))
+    drop_cut(every, often)
     kinds = cut(found.groupBy("gram", "stretch", "before", "after").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "first", "last", "place")).alias("rep")))
-    whole = found.join(kinds.filter("n > 1").select("gram", "stretch").hint("merge"), ["gram", "stretch"]).select(*DOC, "first", "last")
+    copies = kinds.groupBy("gram", "stretch").agg(F.sum("n").alias("n")).filter("n > 1")
+    whole = spread_join(found, copies, ["gram", "stretch"]).select(*DOC, "first", "last")
 
     def shared(side: str) -> DataFrame:
         """Sides of a gram in two kinds or more, of which one occurs once."""
@@ -313,8 +317,8 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept`` (bytes, only of texts that lose some)."""
-    texts = texts_of(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that stay."""
+    texts = texts_of(docs, id_col, text_col).withColumns({"own_id": F.col("doc_id"), "doc_id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
     own, spans = removals(texts, hot)
 
     def run(batches):
@@ -332,13 +336,17 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "th", "n_removed", "n_spans", "sha", "kept"])
 
     changed = own.join(spans.hint("merge"), DOC).select(*DOC, "text", "spans").mapInArrow(run, "doc_id long, th long, n_removed long, n_spans long, sha string, kept binary")
-    everything = texts.select(*DOC, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    none = F.lit(0).cast("long")
-    return everything.join(changed.hint("merge"), DOC, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), "kept")
+    size, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
+    joined_up = texts.select(*DOC, "own_id", "text").join(changed.hint("merge"), DOC, "left")
+    kept = F.coalesce("kept", F.col("text").cast("binary"))
+    return joined_up.select(
+        F.col("own_id").alias("doc_id"), size.alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("sha", F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"), kept.alias("kept")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip(table(spark, sf_dir, "documents")).drop("kept")
+    """The contract's columns, how many bytes stay, and what stays as text (a character that was cut through shows as a replacement mark)."""
+    return strip(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.decode("kept", "UTF-8").alias("kept_text"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, int, str]]:
