@@ -8,7 +8,7 @@ whose text parses as a signed token (JSON header with ``alg``, looked for at eac
 place that may begin one) add spans of their own.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned
-each; a span is ``kind:start:end`` in code points, end exclusive; spans are
+each, whatever their ids, which may be null; texts may be of any length; a span is ``kind:start:end`` in code points, end exclusive; spans are
 ordered by start, then by the order of KINDS, then by end.
 """
 
@@ -105,18 +105,56 @@ def is_der_key(data: bytes) -> bool:
     return bool(found & {0x02, 0x03, 0x04, 0x06})
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or a public one whose length-prefixed fields fill the data."""
-    if data.startswith(SSH_MAGIC):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def ssh_strings(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed strings from ``at`` on, ``most`` of them or as many as there are, and where they end; None where a length leads beyond the data."""
+    found: list[bytes] = []
+    while len(found) != most and (most is not None or at < len(data)):
+        if at + 4 > len(data):
+            return None
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-    return at == len(data) and len(fields) >= 2 and fields[0] in SSH_NAMES
+        at += 4
+        if at + size > len(data):
+            return None
+        found.append(data[at : at + size])
+        at += size
+    return found, at
+
+
+def is_ssh_public(data: bytes) -> bool:
+    """Length-prefixed fields that fill the data, the first of which names a kind of key."""
+    fields = ssh_strings(data, 0)
+    return fields is not None and len(fields[0]) >= 2 and fields[0][0] in SSH_NAMES
+
+
+def is_ssh_private(data: bytes) -> bool:
+    """An OpenSSH private key: cipher, derivation and its options, the number of keys, their public parts, and the private part.
+
+    The private part ends the data.  Without a cipher it begins with one number twice and then names the first key's kind;
+    with one it fills whole blocks.
+    """
+    head = ssh_strings(data, len(SSH_MAGIC), 3)
+    if head is None or head[1] + 4 > len(data):
+        return False
+    (cipher, derivation, options), at = head
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= keys <= len(data) // 8 or (cipher == b"none") != (derivation == b"none") or (cipher == b"none") != (options == b""):
+        return False
+    body = ssh_strings(data, at + 4, keys + 1)
+    if body is None or not all(is_ssh_public(x) for x in body[0][:-1]):
+        return False
+    secret = body[0][-1]
+    if len(secret) < 8 or len(secret) % 8:
+        return False
+    if cipher != b"none":
+        # A cipher may append a tag of its own after the private part.
+        return len(data) - body[1] in (0, 16)
+    kind = ssh_strings(secret, 8, 1)
+    return body[1] == len(data) and secret[:4] == secret[4:8] and kind is not None and kind[0][0] in SSH_NAMES
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH private key, or a public one."""
+    return is_ssh_private(data) if data.startswith(SSH_MAGIC) else is_ssh_public(data)
 
 
 def is_object(part: str, key: str | None = None) -> bool:
