@@ -1,15 +1,19 @@
 """Licence scans: a positional index of rare licence words.
 
 Every licence word gets an inverse document frequency counted over the whole
-corpus.  A file in which a template's mandatory key phrase stands looks up the
-template's rarest words in its positional postings; postings that agree on the
-relative position (template start in the file) vote for an alignment; an
-alignment that gathers enough of its template's weight and holds the key phrase
-gives a label.  The rarest words are as many as weigh more than an alignment
-may miss, so every alignment with enough weight has a vote.
+corpus.  A file's words are looked up in an index of the rarest words of each
+template with their places there; postings that agree on the relative position
+(template start in the file) vote for an alignment; an alignment that gathers
+enough of its template's weight and, looked at last, holds the mandatory key
+phrase gives a label.  The rarest words are as many as weigh more than an
+alignment may miss, so every alignment with enough weight has a vote; a file
+with none of them is done after that look-up.  Base phrases are posted under
+their rarest word in the same way.
 
 Defined cases: a null or empty text has no words, no labels and score 0; places
-of base phrases may overlap; repeated rows are scanned each.  ``score`` is the
+of base phrases may overlap; repeated rows are scanned each, whatever
+their ids, which may be null; texts may be of any length; columns of other names
+are left out.  ``score`` is the
 largest share of a verified template's weight that one alignment matches.
 """
 
@@ -106,56 +110,51 @@ class Index:
             self.reach.append(reach)
         self.keys = [b" " + key.encode() + b" " for _, key, _ in TEMPLATES]
         self.sizes = [len(text.split()) for _, _, text in TEMPLATES]
-        self.bases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES.items()]
+        #: Of the rarest word of each base phrase, its place there, the phrase and its label.
+        self.bases: dict[bytes, list[tuple[int, list[bytes], str]]] = defaultdict(list)
+        for text, label in PHRASES.items():
+            phrase = text.encode().split()
+            place = max(range(len(phrase)), key=lambda k: (self.idf[phrase[k]], -k))
+            self.bases[phrase[place]].append((place, phrase, label))
+        self.entries = frozenset(self.postings) | frozenset(self.bases)
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
         words = words_of(text)
-        known = VOCABULARY.intersection(words)
-        #: Every key phrase and base phrase has two words or more of which one, at least, is rare; without any there is nothing to verify.
-        if not known & HINTS:
+        present = self.entries.intersection(words)
+        if not present:
             return len(words), 0, None, None, "", "", 0.0
-        line = b" " + b" ".join(words) + b" "
+        votes: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
         starts, base = [], set()
-        for phrase, label in self.bases:
-            at = line.find(phrase)
-            while at >= 0:
-                starts.append(line.count(b" ", 0, at))
-                base.add(label)
-                at = line.find(phrase, at + 1)
+        for at, w in enumerate(words):
+            if w in present:
+                for t, place in self.postings.get(w, ()):
+                    votes[t][at - place] += self.idf[w]
+                for place, phrase, label in self.bases.get(w, ()):
+                    begin = at - place
+                    if begin >= 0 and words[begin : begin + len(phrase)] == phrase:
+                        starts.append(begin)
+                        base.add(label)
         labels, score = set(base), 0.0
-        possible = [t for t, key in enumerate(self.keys) if key in line]
-        if possible:
-            wanted = set(possible)
-            postings = {w: found for w in known if (found := [x for x in self.postings.get(w, ()) if x[0] in wanted])}
-            votes: dict[int, dict[int, float]] = {t: defaultdict(float) for t in possible}
-            for at, w in enumerate(words):
-                if w in postings:
-                    for t, place in postings[w]:
-                        votes[t][at - place] += self.idf[w]
-            for t in possible:
-                size, key, template, total = self.sizes[t], self.keys[t], self.templates[t], self.total[t]
-                rest, best = total - self.reach[t], 0.0
-                for begin, vote in sorted(votes[t].items(), key=lambda x: (-x[1], x[0])):
-                    # The most that this alignment, or one with fewer votes, can match.
-                    most = (vote + rest) / total + EPSILON
-                    if most < LEAST_SHARE or most <= best + 2 * EPSILON:
-                        break
-                    place = words[max(0, begin) : max(0, begin + size)]
-                    if key not in b" " + b" ".join(place) + b" ":
-                        continue
-                    share = sum(self.idf[w] for k, w in enumerate(template) if 0 <= begin + k < len(words) and words[begin + k] == w) / total
-                    best = max(best, share)
-                if best >= LEAST_SHARE:
-                    labels.add(TEMPLATES[t][0])
-                    score = max(score, min(1.0, best))
+        for t in sorted(votes):
+            size, key, template, total = self.sizes[t], self.keys[t], self.templates[t], self.total[t]
+            rest, best = total - self.reach[t], 0.0
+            for begin, vote in sorted(votes[t].items(), key=lambda x: (-x[1], x[0])):
+                # The most that this alignment, or one with fewer votes, can match.
+                most = (vote + rest) / total + EPSILON
+                if most < LEAST_SHARE or most <= best + 2 * EPSILON:
+                    break
+                share = sum(self.idf[w] for k, w in enumerate(template) if 0 <= begin + k < len(words) and words[begin + k] == w) / total
+                # The key phrase is verified last, within the alignment's place.
+                if share >= LEAST_SHARE and share > best and key in b" " + b" ".join(words[max(0, begin) : max(0, begin + size)]) + b" ":
+                    best = share
+            if best >= LEAST_SHARE:
+                labels.add(TEMPLATES[t][0])
+                score = max(score, min(1.0, best))
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
-#: A word of each phrase that has to be there.
-HINTS = frozenset({b"license", b"cc", b"cc0", b"permission", b"compliance", b"redistribution", b"unencumbered", b"creative"})
-
 FIELDS = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
 
 
