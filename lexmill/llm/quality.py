@@ -11,7 +11,9 @@ their id among those outside the held-out fold.
 Defined cases: a null or blank text has statistics of 0 and is scored like any
 other; labels other than 0 and 1 are passed over; a document labelled twice
 counts with the rounded mean; without labels of both kinds the score is the
-labels' mean, or 0.5.
+labels' mean, or 0.5; a document without an id is held out and learns nothing;
+repeated rows are scored each; texts may be of any length; columns of other
+names are left alone.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ STATISTICS = ("words", "chars_per_word", "symbols_per_word", "dup_lines", "repea
 
 
 def fold(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
+    """A null id counts as the empty text, whose remainder is 0."""
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
