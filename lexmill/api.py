@@ -1,4 +1,9 @@
-"""The engine's façade: collections, documents, search and suggestions, one method for each route of a search server."""
+"""The engine's façade: collections, documents, search and suggestions, one method for each route of a search server.
+
+A collection is a list of segments, each with its documents and the tables derived from them.  Adding documents writes a
+segment and touches no other; removing them writes a segment of what to leave out and of negative counts.  Statistics
+and suggestions are sums over the segments; ``rebuild`` merges all segments into one.
+"""
 
 from __future__ import annotations
 
@@ -12,19 +17,29 @@ from pyspark.sql import functions as F
 
 from lexmill.errors import Conflict, InvalidFormat, NotAuthorized, NotFound
 from lexmill.functions import score as S
+from lexmill.functions import segment
 from lexmill.functions import text as T
 from lexmill.model import TOP_K, CollectionMeta, Query, SuggestConfig
 from lexmill.operators import index, schema, search, suggest
 from lexmill.sources.store import Store
 
 DOCUMENTS = "seq_id long, doc_id long, _raw string"
+POSTINGS = "field string, term string, seq_id long, elem int, tf long, doc_len long, offsets array<long>"
+STATS = "field string, term string, df long, sum_len long"
+PHONETIC = "field string, code string, term string"
+FREQ = "segment string, freq long, last_seen struct<doc:long,place:int>"
+#: Segments after which an addition merges them all.
+MOST_SEGMENTS = 64
 
 
 class Engine:
-    """``tokenizers`` names further tokenizers: objects with ``tokens(docs, id_col, text_col)`` and ``query_terms(text)``."""
+    """``tokenizers`` names further tokenizers: objects with ``tokens(docs, id_col, text_col)`` and ``query_terms(text)``.
+
+    ``sounds`` maps characters to what they sound like; without it, letters with marks sound like those without.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, tokenizers: dict[str, Any] | None = None):
-        self.spark, self.store, self.tokenizers = spark, Store(spark, root), tokenizers or {}
+    def __init__(self, spark: SparkSession, root: str, tokenizers: dict[str, Any] | None = None, sounds: dict[str, str] | None = None):
+        self.spark, self.store, self.tokenizers, self.sounds = spark, Store(spark, root), tokenizers or {}, sounds
 
     # Collections.
     def create_collection(self, request: str | dict) -> None:
@@ -49,12 +64,40 @@ class Engine:
         meta = CollectionMeta.parse({k: v for k, v in raw.items() if k not in ("id", "created at")})
         return meta, schema.parse(meta.schema)
 
-    def documents(self, name: str) -> DataFrame:
+    # Tables of one version.
+    def _living(self, name: str, state: dict[str, Any], kind: str, table_schema: Any) -> DataFrame:
+        """Rows of all segments but those of removed documents."""
+        rows = self.store.read(name, kind, table_schema, state["segments"])
+        if state["removals"]:
+            rows = index.remove(rows, self.store.read(name, "removed", "seq_id long, doc_id long", state["removals"]))
+        return rows
+
+    def documents(self, name: str, state: dict[str, Any] | None = None) -> DataFrame:
         """seq_id, doc_id, _raw of all documents."""
         self.store.meta(name)
-        if self.store.current(name)["version"] is None:
-            return self.spark.createDataFrame([], DOCUMENTS)
-        return self.store.table(name, "documents")
+        return self._living(name, state or self.store.current(name), "documents", DOCUMENTS)
+
+    def scan(self, name: str) -> DataFrame:
+        """All documents in order of sequence numbers."""
+        return self.documents(name).orderBy("seq_id")
+
+    def postings(self, name: str, state: dict[str, Any] | None = None) -> DataFrame:
+        return self._living(name, state or self.store.current(name), "postings", POSTINGS)
+
+    def term_stats(self, name: str, state: dict[str, Any] | None = None) -> DataFrame:
+        """field, term, df, sum_len, avg_doc_len: the segments' counts summed, those of removals being negative."""
+        state = state or self.store.current(name)
+        return index.merge_stats(self.store.read(name, "term_stats", STATS, [*state["segments"], *state["removals"]]))
+
+    def dictionary(self, name: str) -> DataFrame:
+        """All terms of each field in byte order, with the codes by which they are found by sound."""
+        codes = self.store.read(name, "phonetic", PHONETIC, self.store.current(name)["segments"]).distinct()
+        return self.term_stats(name).join(codes, ["field", "term"], "left").select("field", "term", "df", "code").orderBy("field", "term")
+
+    def suggest_freq(self, name: str) -> DataFrame:
+        """segment, freq, last_seen; a removal takes its counts off but leaves the time of the last use."""
+        state = self.store.current(name)
+        return suggest.merge_frequencies(self.store.read(name, "suggest_freq", FREQ, [*state["segments"], *state["removals"]])).filter("freq > 0")
 
     # Documents.
     def add_documents(self, name: str, documents: str | list[str] | DataFrame, on_error: str = "fail", tag: str | None = None) -> int:
@@ -65,22 +108,26 @@ class Engine:
         """
         meta, root = self._meta(name)
         batch = self._batch(documents)
+        state = self.store.current(name)
+        tag = tag or f"v{uuid.uuid4().hex}"
         checked = schema.validated(batch, root)
-        state, old = self.store.current(name), self.documents(name)
-        taken = checked.join(old.select("doc_id", F.lit(True).alias("_taken")), "doc_id", "left")
+        taken = checked.join(self.documents(name, state).select("doc_id", F.lit(True).alias("_taken")), "doc_id", "left")
         again = W.partitionBy("doc_id").orderBy("_ordinal")
         judged = taken.withColumn("_conflict", F.col("doc_id").isNotNull() & (F.coalesce("_taken", F.lit(False)) | (F.row_number().over(again) > 1)))
+        judged = self.store.write(name, tag, "judged", judged.select("_ordinal", "doc_id", "_raw", "_errors", "_conflict"))
         bad = (F.size("_errors") > 0) | F.col("_conflict")
         first = judged.filter(bad).select("_ordinal", "_errors", "_conflict", "doc_id").orderBy("_ordinal").first()
         if first is not None and on_error != "prefix":
+            self.store.remove(self.store.folder(name, tag))
             raise self._fault(first)
         good = judged.filter(F.col("_ordinal") < first["_ordinal"]) if first is not None else judged
-        count = good.count()
+        rows = numbered(good.select("_ordinal", "doc_id", "_raw"), "_ordinal", state["next_seq_id"], f"{self.store.folder(name, tag)}/numbered")
+        self._segment(name, meta, root, rows.select("seq_id", "doc_id", "_raw"), tag)
+        count = self.store.read(name, "documents", DOCUMENTS, [tag]).count()
         if count:
-            tag = tag or f"v{uuid.uuid4().hex}"
-            numbers = numbered(good.select("_ordinal", "doc_id", "_raw"), "_ordinal", state["next_seq_id"], f"{self.store.root}/{name}/{tag}/batch")
-            every = old.unionByName(numbers.select("seq_id", "doc_id", "_raw"))
-            self._commit(name, meta, root, every, {"next_seq_id": state["next_seq_id"] + count, "doc_num": state["doc_num"] + count}, tag)
+            self.store.publish(name, state, segments=[*state["segments"], tag], next_seq_id=state["next_seq_id"] + count, doc_num=state["doc_num"] + count)
+            if len(state["segments"]) + 1 >= MOST_SEGMENTS:
+                self.rebuild(name)
         if first is not None:
             raise self._fault(first)
         return count
@@ -113,61 +160,86 @@ class Engine:
     def contains(self, name: str, doc_id: int) -> bool:
         return not self.documents(name).filter(F.col("doc_id") == doc_id).isEmpty()
 
-    def remove_documents(self, name: str, ids: list[int], tag: str | None = None) -> None:
-        """Remove documents by id; the derived tables follow from those that stay."""
-        meta, root = self._meta(name)
-        old = self.documents(name)
-        gone = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "doc_id long")
-        found = old.join(gone, "doc_id", "left_semi").count()
-        if found < len(set(ids)):
+    def members(self, name: str, paths: dict[str, str]) -> DataFrame:
+        """doc_id and, for each column, what stands at a JSON path in the documents, as text."""
+        return self.documents(name).select("doc_id", *(F.get_json_object("_raw", p).alias(c) for c, p in paths.items()))
+
+    def remove_documents(self, name: str, ids: list[int] | DataFrame, tag: str | None = None) -> None:
+        """Remove documents by id, a list or a table of doc_id; a NotFound where one isn't there leaves all."""
+        self.store.meta(name)
+        tag = tag or f"r{uuid.uuid4().hex}"
+        state = self.store.current(name)
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        gone = gone.select("doc_id").distinct()
+        removed = self.store.write(name, tag, "removed", self.documents(name, state).join(gone, "doc_id", "left_semi").select("seq_id", "doc_id"), "seq_id")
+        count = removed.count()
+        if count < gone.count():
+            self.store.remove(self.store.folder(name, tag))
             raise NotFound("no such document")
+        if not count:
+            return
+        minus = self.postings(name, state).join(removed.select("seq_id"), "seq_id", "left_semi")
+        minus = index.term_stats(minus).select("field", "term", (-F.col("df")).alias("df"), (-F.col("sum_len")).alias("sum_len"))
+        self.store.write(name, tag, "term_stats", minus, "field", "term")
+        meta, root = self._meta(name)
+        if meta.suggest and schema.suggested(root):
+            own = schema.parsed(self.documents(name, state).join(removed.select("seq_id"), "seq_id", "left_semi"), root)
+            freq = suggest.frequencies(self._segments(own, root)).select("segment", (-F.col("freq")).alias("freq"), F.lit(None).cast("struct<doc:long,place:int>").alias("last_seen"))
+            self.store.write(name, tag, "suggest_freq", freq, "segment")
+        self.store.publish(name, state, removals=[*state["removals"], tag], doc_num=state["doc_num"] - count)
+
+    def holds(self, name: str, tag: str) -> bool:
+        """Whether a segment of this tag was added, be it merged with others since."""
         state = self.store.current(name)
-        self._commit(name, meta, root, old.join(gone, "doc_id", "left_anti").select(*old.columns), {"next_seq_id": state["next_seq_id"], "doc_num": state["doc_num"] - found}, tag)
+        return tag in state["segments"] or tag in state.get("merged", [])
 
-    def rebuild(self, name: str) -> None:
-        """Derive all tables anew from the documents."""
+    def rebuild(self, name: str, tag: str | None = None) -> None:
+        """Merge all segments into one, with its tables derived anew from the documents."""
         meta, root = self._meta(name)
-        state = self.store.current(name)
-        self._commit(name, meta, root, self.documents(name), {k: state[k] for k in ("next_seq_id", "doc_num")}, None)
+        state, tag = self.store.current(name), tag or f"v{uuid.uuid4().hex}"
+        self._segment(name, meta, root, self.documents(name, state), tag)
+        self.store.publish(name, state, segments=[tag], removals=[], merged=[*state.get("merged", []), *state["segments"]])
 
-    # Derived tables: a function of the documents.
+    # Derived tables: a function of a segment's documents.
     def _tokens(self, meta: CollectionMeta):
         return self.tokenizers.get(meta.tokenizer)
 
-    def _commit(self, name: str, meta: CollectionMeta, root: schema.FieldInfo, docs: DataFrame, state: dict[str, int], tag: str | None) -> None:
-        tag = tag or f"v{uuid.uuid4().hex}"
-        path = f"{self.store.root}/{name}/{tag}"
-        docs.repartitionByRange("seq_id").write.mode("overwrite").parquet(f"{path}/documents")
-        docs = schema.parsed(self.spark.read.parquet(f"{path}/documents"), root)
+    def _code(self):
+        return T.folded if self.sounds is None else lambda term: segment.romanized(term, self.sounds)
+
+    def _segment(self, name: str, meta: CollectionMeta, root: schema.FieldInfo, docs: DataFrame, tag: str) -> None:
+        docs = schema.parsed(self.store.write(name, tag, "documents", docs, "seq_id"), root)
         found = [self._postings(docs, root, f.path, meta) for f in schema.indexed(root)]
-        tables: dict[str, tuple[DataFrame, tuple[str, ...]]] = {}
         if found:
             postings = found[0]
             for more in found[1:]:
                 postings = postings.unionByName(more)
-            postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/postings")
-            stats = index.term_stats(self.spark.read.parquet(f"{path}/postings"))
-            tables["term_stats"] = (stats, ("field", "term"))
-            tables["phonetic"] = (index.phonetic(stats), ("field", "code"))
+            postings = self.store.write(name, tag, "postings", postings, "field", "term")
+            stats = self.store.write(name, tag, "term_stats", index.term_stats(postings).select("field", "term", "df", "sum_len"), "field", "term")
+            self.store.write(name, tag, "phonetic", index.phonetic(stats, self._code()), "field", "code")
+        numbers = schema.numeric(root)
+        if numbers:
+            self.store.write(name, tag, "numbers", docs.select("seq_id", *(schema.number(F.col("doc"), root, f.path).cast("double").alias(f.path) for f in numbers)), "seq_id")
         if meta.suggest and schema.suggested(root):
-            parts = [docs.select("seq_id", F.explode(schema.values(F.col("doc"), root, f.path)).alias("text")) for f in schema.suggested(root)]
-            rows = parts[0]
-            for more in parts[1:]:
-                rows = rows.unionByName(more)
-            freq = suggest.frequencies(suggest.segments(rows, "text", "seq_id"))
-            tables["suggest_freq"] = (freq, ("segment",))
-            tables["suggest_topk"] = (suggest.best(freq, meta.suggest), ("prefix",))
-        self.store.commit(name, tag, tables, state)
+            self.store.write(name, tag, "suggest_freq", suggest.frequencies(self._segments(docs, root)), "segment")
+
+    def _segments(self, docs: DataFrame, root: schema.FieldInfo) -> DataFrame:
+        parts = [docs.select("seq_id", F.explode(schema.values(F.col("doc"), root, f.path)).alias("text")) for f in schema.suggested(root)]
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        return suggest.segments(rows, "text", "seq_id")
 
     def _postings(self, docs: DataFrame, root: schema.FieldInfo, path: str, meta: CollectionMeta) -> DataFrame:
-        rows = docs.select("seq_id", F.posexplode(schema.values(F.col("doc"), root, path)).alias("elem", "text")).withColumn("_key", F.struct("seq_id", "elem"))
+        rows = docs.select("seq_id", F.posexplode(schema.values(F.col("doc"), root, path)).alias("elem", "text"))
+        rows = rows.withColumn("_key", F.struct("seq_id", "elem"))
         own = self._tokens(meta)
         cut = own.tokens(rows, "_key", "text") if own else T.tokens(rows, "_key", "text")
         found = cut.groupBy("term", "_key").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list("offset")).alias("offsets"))
         return found.select(F.lit(path).alias("field"), "term", "_key.seq_id", F.col("_key.elem").alias("elem"), "tf", "doc_len", "offsets")
 
     # Queries.
-    def search(self, name: str, request: str | dict, scorer: str = "bm25", k: int = TOP_K, exhaustive: bool = False) -> DataFrame:
+    def search(self, name: str, request: str | dict, scorer: str = "bm25", k: int = TOP_K, exhaustive: bool = False, fuzzy: bool = True, relax: bool = True) -> DataFrame:
         """rank, seq_id, score, bm25, doc_id, _raw of the best documents."""
         query = Query.parse(request)
         meta, root = self._meta(name)
@@ -184,24 +256,28 @@ class Engine:
         if scorer not in S.SCORERS:
             raise InvalidFormat(f"unknown scorer {scorer}")
         schema_ = "rank int, seq_id long, score double, bm25 double, doc_id long, _raw string"
-        if not state["version"] or not state["doc_num"] or not query.fields:
+        if not state["doc_num"] or not query.fields:
             return self.spark.createDataFrame([], schema_)
-        postings = self.store.table(name, "postings")
+        postings = self.postings(name, state)
         wanted = lambda terms: index.first_elements(postings.filter(F.col("field").isin(*query.fields) & F.col("term").isin(*terms)))
-        docs = self.documents(name)
+        docs = self.documents(name, state)
         sort_columns = None
         if query.sort:
-            full = schema.parsed(docs, root)
-            sort_columns = full.select("seq_id", *(schema.number(F.col("doc"), root, s.field).alias(s.field) for s in query.sort))
+            every = ", ".join(f"`{f.path}` double" for f in schema.numeric(root))
+            sort_columns = self._living(name, state, "numbers", f"seq_id long, {every}").select("seq_id", *(f"`{s.field}`" for s in query.sort))
         own = self._tokens(meta)
-        top = search.search(wanted, self.store.table(name, "term_stats"), state["doc_num"], query, sort_columns, S.SCORERS[scorer], exhaustive=exhaustive, k=k, tokenize=own.query_terms if own else T.query_terms)
+        sound = (lambda t: "".join(self.sounds.get(c, c) for c in t)) if self.sounds is not None else None
+        stats = self.term_stats(name, state)
+        top = search.search(
+            wanted, stats, state["doc_num"], query, sort_columns, S.SCORERS[scorer], fuzzy, exhaustive, relax, k, own.query_terms if own else T.query_terms, self._code(), sound
+        )
         return top.join(docs, "seq_id").orderBy("rank").select("rank", "seq_id", "score", "bm25", "doc_id", "_raw")
 
-    def search_json(self, name: str, request: str | dict) -> str:
+    def search_json(self, name: str, request: str | dict, **options: Any) -> str:
         import time
 
         began = time.perf_counter()
-        rows = self.search(name, request).collect()  # at most k rows
+        rows = self.search(name, request, **options).collect()  # at most k rows
         hits = [{**json.loads(r["_raw"]), "seq id": r["seq_id"]} for r in rows]
         return json.dumps({"found": len(rows), "took secs": round(time.perf_counter() - began, 6), "hits": hits, "scores": [r["score"] for r in rows]}, ensure_ascii=False)
 
@@ -209,9 +285,10 @@ class Engine:
         meta, root = self._meta(name)
         if meta.suggest is None:
             raise NotAuthorized(f"{name} has no auto suggestion")
-        if self.store.current(name)["version"] is None or not schema.suggested(root):
+        if not schema.suggested(root):
             return self.spark.createDataFrame([], "rank int, segment string, freq long")
-        return suggest.lookup(self.store.table(name, "suggest_topk"), prefix)
+        # Only segments that begin so are read and summed.
+        return suggest.lookup(suggest.best(self.suggest_freq(name).filter(F.col("segment").startswith(prefix)), meta.suggest), prefix)
 
 
 def numbered(rows: DataFrame, order: str, base: int, path: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +16,6 @@ def postings(docs: DataFrame, id_col: str, text_col: str, field: str | None = No
     return found.select(F.lit(field or text_col).alias("field"), "term", F.col(id_col).alias("seq_id"), F.lit(0).alias("elem"), "tf", "doc_len", "offsets")
 
 
-def postings_of(docs: DataFrame, id_col: str, text: Column, wanted: Iterable[str], field: str, elem: Column | None = None) -> DataFrame:
-    """Postings of a few known terms, made within each row: no token is moved."""
-    words = F.array(*(F.lit(w) for w in wanted))
-    rows = docs.select(F.col(id_col).alias("seq_id"), (F.lit(0) if elem is None else elem).cast("int").alias("elem"), text.alias("_text")).filter("_text is not null")
-    rows = rows.withColumn("_pieces", T.pieces(F.col("_text"))).filter(F.arrays_overlap("_pieces", words))
-    places = F.filter(F.transform("_pieces", lambda t, i: F.struct(t.alias("term"), i.alias("i"))), lambda s: F.array_contains(words, s["term"]))
-    rows = rows.withColumn("_places", places)
-    at = lambda i: F.when(i > 0, F.octet_length(F.concat_ws(" ", F.slice("_pieces", F.lit(1), i))) + 1).otherwise(F.lit(0)).cast("long")
-    rows = rows.select("seq_id", "elem", F.octet_length("_text").cast("long").alias("doc_len"), F.transform("_places", lambda s: F.struct(s["term"].alias("term"), at(s["i"]).alias("offset"))).alias("_places"))
-    each = rows.select("seq_id", "elem", "doc_len", "_places", F.explode(F.array_distinct(F.transform("_places", lambda s: s["term"]))).alias("term"))
-    offsets = F.transform(F.filter("_places", lambda s: s["term"] == F.col("term")), lambda s: s["offset"])
-    return each.select(F.lit(field).alias("field"), "term", "seq_id", "elem", F.size(offsets).cast("long").alias("tf"), "doc_len", offsets.alias("offsets"))
-
-
 def nested_postings(docs: DataFrame, id_col: str, elements: Column, field: str) -> DataFrame:
     """Postings of an array of strings: one posting a term and element, offsets from 0 in each element."""
     rows = docs.select(F.col(id_col).alias("_id"), F.posexplode(elements).alias("elem", "_text")).withColumn("_key", F.struct("_id", "elem"))

@@ -1,8 +1,8 @@
 """Search: fuzzy expansion, combinations, conjunction with phrases, relaxation, ranking.
 
-One search is two small jobs on the driver's side of things (expansions, counts
-for the early stop) and one plan that is returned.  Many queries can go through
-the last plan together; see ``batch``.
+One search is a small job over the dictionary (expansions) and one match of the
+postings, from which the counts for the early stop and the top rows are read.
+Many queries can be matched together; see ``batch``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -32,6 +33,12 @@ def most_distance(term: str) -> int:
     return 0 if n <= 3 else 1 if n <= 6 else 2
 
 
+def allowed(term: Column) -> Column:
+    """The same for a column of terms."""
+    size = F.octet_length(term)
+    return F.when(size <= 3, 0).when(size <= 6, 1).otherwise(2)
+
+
 def distance_is(term: Column, token: str, d: int, code: Callable[[Column], Column] = T.folded, token_code: str | None = None) -> Column:
     """Whether a dictionary term is at exactly distance d of the token.
 
@@ -59,10 +66,22 @@ class Expansion:
     avg_doc_len: float
 
 
-def expand(stats: DataFrame, fields: tuple[str, ...], tokens: list[str], fuzzy: bool = True) -> tuple[list[Expansion], dict[tuple[str, str], int]]:
+def near(term: Column, token: str, fuzzy: bool) -> Column:
+    """A cheap condition that holds for every term that may expand a token; reads of a sorted dictionary are pruned by it."""
+    if not fuzzy or not most_distance(token):
+        return term == token
+    if ord(token[0]) < 128:
+        size, most = len(token.encode()), most_distance(token)
+        return term.startswith(token[0]) & F.octet_length(term).between(size - most, size + most)
+    return term >= "\u0080"
+
+
+def expand(stats: DataFrame, fields: tuple[str, ...], tokens: list[str], fuzzy: bool = True, code: Callable[[Column], Column] = T.folded, sound: Callable[[str], str] | None = None) -> tuple[list[Expansion], dict[tuple[str, str], int]]:
     """The most frequent dictionary terms for each field, token and distance, and each (field, token)'s summed frequency."""
-    cases = [F.when(distance_is(F.col("term"), t, d), F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"))) for i, t in enumerate(tokens) for d in range((most_distance(t) if fuzzy else 0) + 1)]
-    hit = stats.filter(F.col("field").isin(*fields)).withColumn("m", F.filter(F.array(*cases), lambda c: c.isNotNull())).filter(F.size("m") > 0).select("field", "term", "df", "avg_doc_len", F.explode("m").alias("m"))
+    own = lambda t: sound(t) if sound else None
+    cases = [F.when(distance_is(F.col("term"), t, d, code, own(t)), F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"))) for i, t in enumerate(tokens) for d in range((most_distance(t) if fuzzy else 0) + 1)]
+    reach = reduce(Column.__or__, [near(F.col("term"), t, fuzzy) for t in tokens])
+    hit = stats.filter(F.col("field").isin(*fields) & reach).withColumn("m", F.filter(F.array(*cases), lambda c: c.isNotNull())).filter(F.size("m") > 0).select("field", "term", "df", "avg_doc_len", F.explode("m").alias("m"))
     ranked = hit.withColumn("r", F.row_number().over(W.partitionBy("field", "m").orderBy(F.desc("df"), "term"))).withColumn("total", F.sum("df").over(W.partitionBy("field", "m.i")))
     rows = ranked.filter(F.col("r") <= TERM_COMBOS).orderBy("field", "m.i", "m.d", "r").collect()  # at most 10 a field, token and distance
     sums = {(r["field"], tokens[r["m"]["i"]]): int(r["total"]) for r in rows}
@@ -172,31 +191,48 @@ def search(
     relax: bool = True,
     k: int = TOP_K,
     tokenize: Callable[[str], list[tuple[str, list[int]]]] = T.query_terms,
+    code: Callable[[Column], Column] = T.folded,
+    sound: Callable[[str], str] | None = None,
 ) -> DataFrame:
     """The best documents of a query.  ``postings(terms)`` gives the postings of the terms that are asked for.
 
-    ``exhaustive`` runs every combination whatever the hits so far; ``relax=False`` keeps all tokens.
+    ``exhaustive`` runs every combination whatever the hits so far; ``relax=False`` keeps all tokens.  Postings are matched
+    once: hits are kept until the counts for the early stop and the top rows have been read from them.  ``code`` and
+    ``sound`` give the sound of a term and of a token.
     """
     spark = stats.sparkSession
     tokens = tokenize(query.text)
-    found, sums = expand(stats, query.fields, [t for t, _ in tokens], fuzzy) if tokens and query.fields else ([], {})
+    schema = "rank int, seq_id long, score double, bm25 double"
+    found, sums = expand(stats, query.fields, [t for t, _ in tokens], fuzzy, code, sound) if tokens and query.fields else ([], {})
     rows = combinations(query, tokens, found, sums, fuzzy, relax)
     if not rows:
-        return spark.createDataFrame([], "rank int, seq_id long, score double, bm25 double")
-    needed = postings(sorted({r[7] for r in rows}))
-    if not exhaustive and len({(r[0], r[3], r[4]) for r in rows}) > 1:
-        counts = matches(needed, spark.createDataFrame(rows, COMBO), n_docs, scorer).groupBy("field_no", "level", "cost_no").count().collect()
-        begun = kept([tuple(c) for c in counts], rows)
-        rows = [r for r in rows if (r[0], r[3], r[4]) in begun]
-    hits = matches(needed, spark.createDataFrame(rows, COMBO), n_docs, scorer)
-    return ranked(hits.groupBy("seq_id").agg(F.max("score").alias("bm25")), query, sort_columns, k)
+        return spark.createDataFrame([], schema)
+    hits = matches(postings(sorted({r[7] for r in rows})), spark.createDataFrame(rows, COMBO), n_docs, scorer)
+    best = lambda h: ranked(h.groupBy("seq_id").agg(F.max("score").alias("bm25")), query, sort_columns, k)
+    if exhaustive or len({(r[0], r[3], r[4]) for r in rows}) == 1:
+        return best(hits)
+    hits = hits.persist()
+    try:
+        counts = hits.groupBy("field_no", "level", "cost_no").count().collect()
+        begun = spark.createDataFrame(sorted(kept([tuple(c) for c in counts], rows)), "field_no int, level int, cost_no int")
+        top = best(hits.join(F.broadcast(begun), ["field_no", "level", "cost_no"], "left_semi")).collect()  # at most k rows; a row a combination of distances
+    finally:
+        hits.unpersist()
+    return spark.createDataFrame(top, schema)
 
 
 def batch(postings: DataFrame, stats: DataFrame, n_docs: int, queries: DataFrame, field: str, scorer: S.Scorer = S.bm25, k: int = TOP_K) -> DataFrame:
-    """Exact conjunctive search of many queries(query_id, text) in one plan: query_id, rank, seq_id, bm25."""
+    """Exact conjunctive search of many queries(query_id, text) in one plan: query_id, rank, seq_id, bm25.
+
+    A query's rarest word names the documents that can match; these are looked up for its other words by word and document
+    together, so that a common word is spread over all tasks.
+    """
     words = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    sizes = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    met = words.join(sizes, "query_id").join(stats.filter(F.col("field") == field), "term").join(postings.filter(F.col("field") == field).select("term", "seq_id", "tf", "doc_len"), "term")
+    known = words.join(stats.filter(F.col("field") == field).select("term", "df", "avg_doc_len"), "term", "left")
+    sizes = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rare"))
+    asked = postings.filter(F.col("field") == field).select("term", "seq_id", "tf", "doc_len").join(words.select("term").distinct(), "term", "left_semi")
+    able = sizes.filter("rare.df > 0").select("query_id", "n", F.col("rare.term").alias("term")).join(asked.select("term", "seq_id"), "term").select("query_id", "n", "seq_id")
+    met = able.join(known, "query_id").join(asked, ["term", "seq_id"])
     part = scorer(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("avg_doc_len"), n_docs)
     hits = met.groupBy("query_id", "seq_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("got"), F.sum(part).alias("bm25")).filter("n = got")
     order = W.partitionBy("query_id").orderBy(F.desc("bm25"), "seq_id")

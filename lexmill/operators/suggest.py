@@ -23,8 +23,12 @@ def frequencies(found: DataFrame) -> DataFrame:
     return found.filter(F.octet_length("segment") <= MOST_BYTES).groupBy("segment").agg(F.count(F.lit(1)).alias("freq"), F.max("seen").alias("last_seen"))
 
 
-def merge_frequencies(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy("segment").agg(F.sum("freq").alias("freq"), F.max("last_seen").alias("last_seen"))
+def merge_frequencies(*parts: DataFrame) -> DataFrame:
+    """Frequencies of several parts of a collection together."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("segment").agg(F.sum("freq").alias("freq"), F.max("last_seen").alias("last_seen"))
 
 
 def best(freq: DataFrame, config: SuggestConfig = SuggestConfig()) -> DataFrame:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions import score as S
 from lexmill.functions import text as T
-from lexmill.model import Query
 from lexmill.operators import index, search
+from lexmill.plans.library import built, empty, raw
 
 STOP = ("the", "of", "and", "in", "to", "le", "la", "de", "der", "die", "das")
 
@@ -18,35 +16,28 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def top(spark: SparkSession, table: DataFrame, id_col: str, query: Query, scorer: S.Scorer = S.bm25, fuzzy: bool = False, relax: bool = False, sort: DataFrame | None = None, k: int = 50, exhaustive: bool = False) -> DataFrame:
-    """A search over plain columns, without a stored index: only the postings of the asked terms are made."""
-    spoken = T.query_terms(query.text)
-    stats = None
-    for f in query.fields:
-        own = index.stats_of_texts(table, f)
-        stats = own if stats is None else stats.unionByName(own)
-    if not fuzzy:
-        stats = stats.filter(F.col("term").isin([t for t, _ in spoken]))
+def shown(found: DataFrame, id_name: str = "doc_id") -> DataFrame:
+    return found.select("rank", F.col("doc_id").alias(id_name), F.round("score", 6).alias("score"))
 
-    def postings(terms: list[str]) -> DataFrame:
-        out = None
-        for f in query.fields:
-            own = index.postings_of(table, id_col, F.col(f), terms, f)
-            out = own if out is None else out.unionByName(own)
-        return out
 
-    return search.search(postings, stats, table.count(), query, sort, scorer, fuzzy, relax=relax, k=k, exhaustive=exhaustive)
+def of_text(text: str, fuzzy: bool = False, relax: bool = False, **options):
+    """A search over the stored index."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shown(built(spark, sf_dir, "documents").search("documents", {"query": text, "query by": ["text"]}, fuzzy=fuzzy, relax=relax, **options))
 
-def shown(found: DataFrame, id_name: str = "doc_id") -> DataFrame:
-    return found.select("rank", F.col("seq_id").alias(id_name), F.round("score", 6).alias("score"))
+    return run
 
 
-def of_text(text: str, **options):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(top(spark, docs(spark, sf_dir), "doc_id", Query(text, ("text",), (1.0,)), **options))
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "documents").term_stats("documents")
 
-    return run
+
+def stored_postings(spark: SparkSession, sf_dir: str, *terms: str) -> DataFrame:
+    """Postings of some terms; ids are dense from 0, but are taken from the documents all the same."""
+    engine = built(spark, sf_dir, "documents")
+    found = engine.postings("documents").filter(F.col("term").isin(*terms))
+    return found.join(engine.documents("documents").select("seq_id", "doc_id"), "seq_id")
 
 
 def tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,60 +49,67 @@ def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("term", F.col("seq_id").alias("doc_id"), "tf", "doc_len", F.element_at("offsets", 1).alias("first_at"), F.element_at("offsets", -1).alias("last_at"))
 
 
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection with all its tables, from nothing."""
+    engine = empty(spark, "documents")
+    engine.add_documents("documents", raw(spark, sf_dir, "documents"))
+    return engine.list_collections().select("name", "doc_num")
+
+
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.stats_of_texts(docs(spark, sf_dir), "text").select("term", "df", F.round("avg_doc_len", 6).alias("avg_doc_len"))
+    return stats(spark, sf_dir).select("term", "df", F.round("avg_doc_len", 6).alias("avg_doc_len"))
 
 
 def dictionary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.dictionary_size(index.stats_of_texts(docs(spark, sf_dir), "text"))
+    return index.dictionary_size(stats(spark, sf_dir))
 
 
 def dictionary_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.with_prefix(index.stats_of_texts(docs(spark, sf_dir), "text"), "text", "thi").select("term", "df")
+    return index.with_prefix(stats(spark, sf_dir), "text", "thi").select("term", "df")
+
+
+def dictionary_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "documents").dictionary("documents")
 
 
 def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.postings_of(docs(spark, sf_dir), "doc_id", F.col("text"), ["thing"], "text")
-    return index.lookup(found, "text", "thing").select(F.col("seq_id").alias("doc_id"), "tf", "doc_len", F.element_at("offsets", 1).alias("first_at"), F.element_at("offsets", -1).alias("last_at"))
+    return index.lookup(stored_postings(spark, sf_dir, "thing"), "text", "thing").select("doc_id", "tf", "doc_len", F.element_at("offsets", 1).alias("first_at"), F.element_at("offsets", -1).alias("last_at"))
 
 
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(built(spark, sf_dir, "documents").describe("documents")["doc num"],)], "n long")
 
 
 def phrase(slop: int):
     """Documents with both words, and how often the second follows within ``slop`` bytes of its place."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = index.postings_of(docs(spark, sf_dir), "doc_id", F.col("text"), ["thing", "and"], "text")
-        pairs = found.groupBy("seq_id").agg(F.max(F.when(F.col("term") == "thing", F.col("offsets"))).alias("a"), F.max(F.when(F.col("term") == "and", F.col("offsets"))).alias("b")).filter("a is not null and b is not null")
+        found = stored_postings(spark, sf_dir, "thing", "and")
+        pairs = found.groupBy("doc_id").agg(F.max(F.when(F.col("term") == "thing", F.col("offsets"))).alias("a"), F.max(F.when(F.col("term") == "and", F.col("offsets"))).alias("b")).filter("a is not null and b is not null")
         slots = F.array(F.struct(F.col("a").alias("offsets"), F.lit(0).cast("long").alias("q")), F.struct(F.col("b").alias("offsets"), F.lit(6).cast("long").alias("q")))
-        return pairs.select(F.col("seq_id").alias("doc_id"), search.phrase_count(slots, F.lit(slop)).cast("long").alias("phrases"))
+        return pairs.select("doc_id", search.phrase_count(slots, F.lit(slop)).cast("long").alias("phrases"))
 
     return run
 
 
 def fuzzy(token: str, d: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stats = index.stats_of_texts(docs(spark, sf_dir), "text")
-        return stats.filter(search.distance_is(F.col("term"), token, d)).select("term", "df")
+        return stats(spark, sf_dir).filter(search.near(F.col("term"), token, True) & search.distance_is(F.col("term"), token, d)).select("term", "df")
 
     return run
 
 
 def fuzzy_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.octet_length("term")
-    return index.stats_of_texts(docs(spark, sf_dir), "text").select("term", F.when(size <= 3, 0).when(size <= 6, 1).otherwise(2).alias("most"))
+    return stats(spark, sf_dir).select("term", search.allowed(F.col("term")).alias("most"))
 
 
 def phonetic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = index.phonetic(index.stats_of_texts(docs(spark, sf_dir), "text"))
+    codes = built(spark, sf_dir, "documents").dictionary("documents").filter("code is not null")
     return codes.groupBy("code").agg(F.count(F.lit(1)).alias("terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
 def homophones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = index.stats_of_texts(docs(spark, sf_dir), "text")
-    return stats.filter(search.distance_is(F.col("term"), "être", 1)).select("term", "df")
+    return stats(spark, sf_dir).filter(search.distance_is(F.col("term"), "être", 1)).select("term", "df")
 
 
 def stop_words_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,26 +118,16 @@ def stop_words_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_sort_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = docs(spark, sf_dir)
-    query = Query("thing", ("text",), (1.0,), (Query.sort_key("n_chars:desc"),))
-    return shown(top(spark, table, "doc_id", query, sort=table.select(F.col("doc_id").alias("seq_id"), "n_chars")))
+    request = {"query": "thing", "query by": ["text"], "sort by": ["n_chars:desc"]}
+    return shown(built(spark, sf_dir, "documents").search("documents", request, fuzzy=False, relax=False))
 
 
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark passages as queries, with the documents that hold all words of each."""
-    table = docs(spark, sf_dir)
-    rows = table.filter("text is not null").select(F.col("doc_id").alias("seq_id"), F.octet_length("text").cast("long").alias("doc_len"), F.explode(T.terms(F.col("text"))).alias("term"))
-    found = rows.groupBy("term", "seq_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")).withColumn("field", F.lit("text"))
+    engine = built(spark, sf_dir, "documents")
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    hits = search.batch(found, index.stats_of_texts(table, "text"), table.count(), queries, "text", k=10)
-    return hits.select("query_id", "rank", F.col("seq_id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
-
-
-def remove_docs_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics after the documents of one source went."""
-    table = docs(spark, sf_dir)
-    gone = table.filter("source = 'src0'").select("doc_id")
-    return index.stats_of_texts(table.join(gone, "doc_id", "left_anti"), "text").select("term", "df", F.round("avg_doc_len", 6).alias("avg_doc_len"))
+    hits = search.batch(engine.postings("documents"), engine.term_stats("documents"), engine.describe("documents")["doc num"], queries, "text", k=10)
+    return hits.join(engine.documents("documents").select("seq_id", "doc_id"), "seq_id").select("query_id", "rank", "doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 TOKENS = """p AS (SELECT doc_id, strlen(text) AS doc_len, string_split_regex(text, '[ .|,:;&]') AS a FROM documents WHERE text IS NOT NULL),
@@ -200,13 +188,15 @@ AVG = "round(avg_doc_len, 6) AS avg_doc_len"
 QUERIES = {
     "tokenize_offsets": (tokenize_offsets, f"WITH {TOKENS} SELECT doc_id, term, byte_at, doc_len FROM tok"),
     "postings_build": (postings_build, f"WITH {TOKENS} SELECT term, doc_id, tf, doc_len, first_at, last_at FROM post"),
+    "index_build": (index_build, "SELECT 'documents' AS name, count(*) AS doc_num FROM documents"),
+    "dictionary_dump": (dictionary_dump, f"WITH {TOKENS} SELECT 'text' AS field, term, df, CASE WHEN ascii(term) > 127 THEN {CODE} END AS code FROM stats"),
     "term_stats": (term_stats, f"WITH {TOKENS} SELECT term, df, {AVG} FROM stats"),
     "dictionary_size": (dictionary_size, f"WITH {TOKENS} SELECT 'text' AS field, count(*) AS terms FROM stats"),
     "dictionary_prefix": (dictionary_prefix, f"WITH {TOKENS} SELECT term, df FROM stats WHERE starts_with(term, 'thi')"),
     "term_lookup": (term_lookup, f"WITH {TOKENS} SELECT doc_id, tf, doc_len, first_at, last_at FROM post WHERE term = 'thing'"),
     "corpus_size": (corpus_size, "SELECT count(*) AS n FROM documents"),
     "search_word_bm25": (of_text("thing"), word_sql("thing", bm25_sql())),
-    "search_word_tfidf": (of_text("thing", scorer=S.tfidf), word_sql("thing", TFIDF)),
+    "search_word_tfidf": (of_text("thing", scorer="tfidf"), word_sql("thing", TFIDF)),
     "search_and": (of_text("thing and"), f"WITH {TOKENS} {ranked_sql(pair_hits('thing', 'and', 6, 8))}"),
     "search_phrase_exact": (phrase(0), phrase_sql(0)),
     "search_phrase_slop": (phrase(8), phrase_sql(8)),
@@ -223,5 +213,4 @@ QUERIES = {
         batch_search,
         f"WITH {TOKENS}, w AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(text, '[ .|,:;&]')) AS term FROM benchmark), v AS (SELECT * FROM w WHERE term <> ''), k AS (SELECT query_id, count(*) AS want FROM v GROUP BY 1), h AS (SELECT query_id, doc_id, sum({bm25_sql()}) AS s, count(*) AS got, any_value(want) AS want FROM v JOIN k USING (query_id) JOIN post USING (term) JOIN stats USING (term), corpus GROUP BY 1, 2) SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(s, 6) AS bm25 FROM h WHERE got = want) WHERE rank <= 10",
     ),
-    "remove_docs_reindex": (remove_docs_reindex, f"WITH documents AS (SELECT * FROM main.documents WHERE source <> 'src0'), {TOKENS} SELECT term, df, {AVG} FROM stats"),
 }

@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from lexmill.plans import documents, tables
+from lexmill.plans import documents, facade, tables
 
-EVERY = documents.QUERIES | tables.QUERIES
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+EVERY = documents.QUERIES | tables.QUERIES | facade.QUERIES
 
 
 def queries() -> dict:

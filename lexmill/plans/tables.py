@@ -8,30 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.model import Query
 from lexmill.operators import index, schema, suggest
-from lexmill.plans.documents import AVG, TOKENS, bm25_sql, docs, ranked_sql, top
+from lexmill.plans.documents import AVG, TOKENS, bm25_sql, docs, ranked_sql, shown
+from lexmill.plans.library import built, scratch
 from lexmill.streaming.ingest import stats_from_stream
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet")
 
 
 def search_multifield_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of two fields counts, not their sum."""
-    query = Query("small SMALL", ("p_name", "p_type"), (2.0, 1.0))
-    found = top(spark, parts(spark, sf_dir), "p_partkey", query, relax=True, exhaustive=True)
-    return found.select("rank", F.col("seq_id").alias("p_partkey"), F.round("score", 6).alias("score"))
+    request = {"query": "small SMALL", "query by": ["p_name", "p_type"], "boost": [2, 1]}
+    return shown(built(spark, sf_dir, "parts").search("parts", request, fuzzy=False, exhaustive=True), "p_partkey")
 
 
 def search_sort_asc_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = parts(spark, sf_dir)
-    query = Query("small ring", ("p_name",), (1.0,), (Query.sort_key("p_size:asc"), Query.sort_key("p_retailprice:desc")))
-    found = top(spark, table, "p_partkey", query, sort=table.select(F.col("p_partkey").alias("seq_id"), "p_size", "p_retailprice"))
-    return found.select("rank", F.col("seq_id").alias("p_partkey"), "score")
+    request = {"query": "small ring", "query by": ["p_name"], "sort by": ["p_size:asc", "p_retailprice:desc"]}
+    return shown(built(spark, sf_dir, "parts").search("parts", request, fuzzy=False, relax=False), "p_partkey")
 
 
 def edge_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +33,11 @@ def edge_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.frequencies(suggest.segments(parts(spark, sf_dir), "p_name", "p_partkey"))
+    return built(spark, sf_dir, "parts").suggest_freq("parts")
 
 
 def suggest_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that used a segment last is named by its sequence number."""
     return _freq(spark, sf_dir).select("segment", "freq", F.col("last_seen.doc").alias("last_doc"), F.col("last_seen.place").alias("last_place"))
 
 
@@ -51,7 +46,7 @@ def suggest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.lookup(suggest.best(_freq(spark, sf_dir)), "re")
+    return built(spark, sf_dir, "parts").suggest("parts", "re")
 
 
 def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,45 +79,8 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size(schema.errors(F.col("raw"), schema.parse(EVENT))) == 0, 1)).alias("n_valid"))
 
 
-def add_batch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents are there; all documents come: what is new, what is taken."""
-    every = docs(spark, sf_dir)
-    there = every.filter("lang = 'en'").select("doc_id", F.lit(True).alias("taken"))
-    return every.join(there, "doc_id", "left").select("doc_id", F.when(F.col("taken"), F.lit("conflict")).otherwise(F.lit("added")).alias("status"))
-
-
-def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).filter("doc_id = 7").select("doc_id", "text", "lang")
-
-
-def get_by_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids are dense from 0, so that sequence numbers are the ids."""
-    return docs(spark, sf_dir).withColumn("seq_id", F.col("doc_id")).filter("seq_id = 11").select("seq_id", "doc_id", "n_chars")
-
-
-def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for t in TABLES:
-        own = spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("doc_num"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def doc_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return rows.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("raw"))
-
-
-def json_path_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members by path from raw JSON, arrays by number."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_json(F.struct(F.array("event_type", F.col("user_id").cast("string")).alias("a"), "props")).alias("raw"))
-    return rows.select("event_id", F.get_json_object("raw", "$.a[0]").alias("first"), F.get_json_object("raw", "$.a[1]").alias("second"), F.get_json_object("raw", "$.none").alias("missing"))
-
-
 def stream_ingest_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files; the statistics of its batches, merged."""
-    from lexmill.plans.registry import scratch
-
     path = f"{sf_dir}/documents.parque[t]"
     stream = spark.readStream.schema(docs(spark, sf_dir).schema).parquet(path)
     merged = stats_from_stream(spark, stream, "text", f"{scratch(spark)}/stream-{uuid.uuid4().hex}")
@@ -132,7 +90,7 @@ def stream_ingest_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEGMENTS = """r AS (SELECT p_partkey, unnest(string_split_regex(p_name, '[ .|,:;&]')) AS segment, generate_subscripts(string_split_regex(p_name, '[ .|,:;&]'), 1) AS pos FROM part),
 f AS (SELECT p_partkey, segment, min(pos) AS pos FROM r WHERE segment <> '' GROUP BY 1, 2),
 g AS (SELECT p_partkey, segment, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - 1 AS place FROM f),
-freq AS (SELECT segment, count(*) AS freq, max(p_partkey) AS last_doc, CAST(arg_max(place, p_partkey) AS INTEGER) AS last_place FROM g WHERE strlen(segment) <= 45 GROUP BY 1),
+freq AS (SELECT segment, count(*) AS freq, max(seq_id) AS last_doc, CAST(arg_max(place, seq_id) AS INTEGER) AS last_place FROM g JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS seq_id FROM part) USING (p_partkey) WHERE strlen(segment) <= 45 GROUP BY 1),
 best AS (SELECT *, CAST(row_number() OVER (PARTITION BY prefix ORDER BY freq DESC, CASE WHEN freq = 1 THEN -last_doc ELSE last_doc END, CASE WHEN freq = 1 THEN -last_place ELSE last_place END, segment) AS INTEGER) AS rank
   FROM (SELECT *, left(segment, unnest(range(least(2, length(segment)), least(length(segment), 14) + 1))) AS prefix FROM freq)),
 topk AS (SELECT prefix, rank, segment, freq FROM best WHERE rank <= 5)"""
@@ -165,11 +123,5 @@ QUERIES = {
     "nested_first_elements": (nested_first_elements, f"WITH {TURNS} SELECT term, conv_id, min(elem) AS elem, arg_min(tf, elem) AS tf, arg_min(doc_len, elem) AS doc_len FROM post GROUP BY 1, 2"),
     "validate_props_json": (validate_props_json, "SELECT event_id, json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') AND CAST(props->>'$.k' AS BIGINT) BETWEEN -2147483648 AND 2147483647 AS as_integer, json_type(props, '$.k') = 'DOUBLE' AS as_float, CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
     "validate_rows": (validate_rows, "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id <= 2147483647 AND value IS NOT NULL AND props IS NOT NULL) AS n_valid FROM events GROUP BY 1"),
-    "add_batch_conflicts": (add_batch_conflicts, "SELECT doc_id, CASE WHEN lang = 'en' THEN 'conflict' ELSE 'added' END AS status FROM documents"),
-    "get_by_id": (get_by_id, "SELECT doc_id, text, lang FROM documents WHERE doc_id = 7"),
-    "get_by_seq": (get_by_seq, "SELECT doc_id AS seq_id, doc_id, n_chars FROM documents WHERE doc_id = 11"),
-    "collection_summary": (collection_summary, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS doc_num FROM {t}" for t in TABLES)),
-    "doc_to_json": (doc_to_json, "SELECT n_nationkey, CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR) AS raw FROM nation"),
-    "json_path_access": (json_path_access, "SELECT event_id, event_type AS first, CAST(user_id AS VARCHAR) AS second, CAST(NULL AS VARCHAR) AS missing FROM events"),
     "stream_ingest_postings": (stream_ingest_postings, f"WITH {TOKENS} SELECT term, df, {AVG} FROM stats"),
 }

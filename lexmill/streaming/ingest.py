@@ -9,7 +9,7 @@ from lexmill.operators import index
 
 
 def ingest(engine, name: str, stream: DataFrame, checkpoint: str) -> None:
-    """Add a stream of ``_raw`` documents to a collection; the batch id names the version, so that a replay replaces it.
+    """Add a stream of ``_raw`` documents to a collection; the batch id names the segment, so that a replay replaces it.
 
     Documents that fail validation or whose id is taken are appended to the collection's rejects.
     """
@@ -18,7 +18,7 @@ def ingest(engine, name: str, stream: DataFrame, checkpoint: str) -> None:
     _, root = engine._meta(name)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        if engine.store.current(name)["version"] == f"stream-{batch_id}":
+        if engine.holds(name, f"stream-{batch_id}"):
             return
         rows = schema.validated(batch.select("_raw"), root).join(engine.documents(name).select("doc_id", F.lit(True).alias("_taken")), "doc_id", "left")
         good = rows.filter((F.size("_errors") == 0) & F.col("_taken").isNull()).dropDuplicates(["doc_id"])
