@@ -44,6 +44,17 @@ def test_suffix_empty_and_clashing(empty, clashing, docs):
     assert tuples(suffix.strip(clashing), *SUFFIX) == tuples(suffix.strip(docs), *SUFFIX)
 
 
+def test_suffix_null_ids_and_what_is_kept(spark):
+    """Documents without an id are told apart by text and stay without one; removal is shown by the kept bytes."""
+    text, head = prose(90, 120), "".join(f"ü{k}" for k in range(90))
+    rows = [(None, text), (None, prose(91, 90)), (5, head + text), (None, None)]
+    got = suffix.strip(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in got) == sorted((str(i), len((t or "").encode())) for i, t in rows)
+    size = len(text.encode())
+    assert sorted(r["n_removed"] for r in got) == [0, 0, size, size]
+    assert {bytes(r["kept"]) for r in got} == {b"", prose(91, 90).encode(), head.encode()}
+
+
 NEAR = ("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -76,6 +87,22 @@ def test_neardup_edge_cases(empty, docs, clashing):
     assert tuples(neardup.groups(clashing), *NEAR) == tuples(neardup.groups(docs), *NEAR)
 
 
+def test_neardup_tells_documents_apart_by_id_and_text(spark):
+    """Null ids, one id of several texts, repeated rows."""
+    a, b, c = prose(60, 80), prose(61, 80), prose(62, 80)
+    rows = [(None, a), (None, b), (3, a), (4, c), (4, b), (5, c), (5, c), (6, None), (None, None)]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = [(None, 76, None, True), (None, 76, None, True), (3, 76, None, False), (4, 76, 4, True), (4, 76, None, False), (5, 76, 4, False), (5, 76, 4, False), (6, 0, 6, True), (None, 0, None, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_text_hash_is_the_engine_s(spark, docs):
+    """The hash that is made with the sketch is the one by which rows are joined."""
+    made = neardup.sketches(neardup.texts_of(docs), 5, 5, 28).select("doc_id", "th").distinct()
+    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).distinct()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, own.collect()))
+
+
 def test_min_max_signature_halves_the_evaluations():
     """Minimum and maximum of one permutation both agree with the similarity as their probability."""
     random = np.random.default_rng(1)
@@ -116,6 +143,25 @@ def test_lines_against_all_runs(spark, docs, rows):
     assert {tuple(r) for r in done.collect()} == brute_lines([*few, *more])
 
 
+def test_line_hashes_are_independent(spark):
+    """Spark hashes an argument with the hash of those before it as the seed: after the line, a constant would make the second hash follow from the first."""
+    import xxhash
+
+    hashed = lambda raw, seed: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(raw, seed=seed % (1 << 64))))[0]
+    row = spark.range(1).select(F.lit("some line").alias("x")).select(*linedup.line_hashes(F.col("x")), F.xxhash64("x", F.lit(7)).alias("chained")).first()
+    seven = struct.pack("<i", 7)
+    assert row["chained"] == hashed(seven, row["h1"])
+    assert row["h1"] == hashed(b"some line", 42) and row["h2"] == hashed(b"some line", hashed(seven, 42))
+
+
+def test_lines_repeated_rows_null_ids_and_long_texts(spark):
+    """Each row of a repeated document loses the same; a null id comes first; a text of very many lines is read whole."""
+    long = "\n".join(prose(7000 + k % 900, 12) for k in range(1800))
+    rows = [(2, LINES), (2, LINES), (None, LINES), (8, long), (9, None)]
+    got = [(r["_row"]["doc_id"], r["_lines"]["n_lines"], r["_lines"]["n_removed"]) for r in linedup.rebuilt(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(2, 4, 4), (2, 4, 4), (None, 4, 0), (8, 1800, 900), (9, 0, 0)], key=str)
+
+
 def test_lines_edge_cases(spark, empty, docs, clashing):
     assert linedup.strip_repeats(empty).collect() == []
     out = linedup.strip_repeats(clashing)
@@ -145,6 +191,44 @@ def test_quality_column_equals_model(spark, docs):
     assert np.allclose([r[0] for r in row.select(model.column()).collect()], model.scores(x[:50]))
 
 
+def brute_statistics(text: str | None) -> list[float]:
+    """The statistics of one text, counted in plain Python."""
+    import math
+    import re
+    import unicodedata
+
+    from lexmill.llm import rules
+
+    text = text or ""
+    n_words, word_chars, n_symbols, n_dup, n_repeat, _ = rules.brute_force(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n")))
+    w, c = max(1, n_words), max(1, word_chars)
+    stutters = sum(a == b for a, b in zip(words, words[1:]))
+    upper = sum(unicodedata.category(x) == "Lu" for x in text)
+    count = lambda p: len(re.findall(p, text))
+    distinct = len(set(re.split(r"[\x20\x09-\x0D]+", text.lower())))
+    return [math.log1p(n_words), word_chars / w, n_symbols / w, n_dup / lines, n_repeat / w, stutters / w, n_words / lines, count("[!?]") / w, upper / c, count("[0-9]") / c, count("[.,;:]") / w, distinct / w]
+
+
+def test_quality_statistics_against_brute_force(spark, clashing, rows):
+    extra = [(None, "A B b! c? 12, 3.  x\n\nA B b!"), (61, "SHOUT " * 50)]
+    table = clashing.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = [[float(v) for v in r["_x"]] for r in quality.statistics(table).select("_x").collect()]
+    want = [brute_statistics(t) for _, t in [*rows, *extra]]
+    assert np.allclose(sorted(got), sorted(want))
+
+
+def test_quality_query_cases(spark, empty, clashing):
+    """Null ids are held out; columns of other names stay; an empty table gives no rows and no model."""
+    ids = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert [r[0] for r in ids.select(quality.fold(F.col("doc_id"))).collect()][0] == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(*quality.training(empty, labels))
+    assert quality.score(empty, model).collect() == []
+    assert set(clashing.columns) < set(quality.score(clashing, model).columns)
+
+
 def test_quality_without_labels():
     assert quality.fit(np.empty((0, 12)), np.empty(0)).rules == ()
     assert quality.fit(np.zeros((5, 12)), np.ones(5)).bias > 0
@@ -230,5 +314,17 @@ def test_packing_plan_fills_windows():
     assert sum(plan.used) > 0.8 * counts.sum()
 
 
+def test_packing_cases(spark, clashing, docs):
+    """Null ids and repeated rows are packed each; columns of other names don't matter; what the library encodes comes out."""
+    rows = [(None, "one two"), (None, None), (7, "Ünïcode ÀÉ"), (7, "Ünïcode ÀÉ"), (8, "漢字 \x1c x" * 40), (9, "x" * 5000 + " y")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    library = packing.encoder(packing.default_path()).library
+    want: dict = {}
+    for i, t in rows:
+        want[i] = want.get(i, 0) + len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    assert {r["doc_id"]: r["n"] for r in got} == want
+    assert tuples(packing.pack(clashing), "doc_id", "start", "length", "ids_crc32") == tuples(packing.pack(docs), "doc_id", "start", "length", "ids_crc32")
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty).collect() == []

@@ -77,6 +77,30 @@ def test_secrets_behind_names_and_escapes():
         assert 4 not in {k for _, k, _ in secrets.structural_spans(text)}, text
 
 
+def ssh_private(cipher: bytes = b"none", cut: int = 0) -> bytes:
+    """An invented OpenSSH private key: its fields, without a real key in them."""
+    field = lambda x: struct.pack(">I", len(x)) + x
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    secret = struct.pack(">II", 77, 77) + public + field(bytes(64)) + field(b"me")
+    secret += bytes(range(1, 1 + -len(secret) % 8))
+    encrypted = cipher != b"none"
+    whole = secrets.SSH_MAGIC + field(cipher) + field(b"bcrypt" if encrypted else b"none") + field(bytes(24) if encrypted else b"") + struct.pack(">I", 1) + field(public) + field(secret)
+    return whole[: len(whole) - cut]
+
+
+def test_ssh_private_keys_are_parsed():
+    assert secrets.is_ssh_key(ssh_private()) and secrets.is_ssh_key(ssh_private(b"aes256-ctr"))
+    for bad in (secrets.SSH_MAGIC, secrets.SSH_MAGIC + bytes(40), ssh_private(cut=1), ssh_private() + b"more", ssh_private().replace(struct.pack(">II", 77, 77), struct.pack(">II", 77, 78)), ssh_private(b"aes256-ctr", cut=3)):
+        assert not secrets.is_ssh_key(bad)
+
+
+def test_scans_of_null_ids_repeated_rows_and_clashing_columns(spark, clashing, docs):
+    for scan in (secrets.scan, licenses.scan, bpe.digests):
+        assert sorted(map(str, scan(clashing).collect())) == sorted(map(str, scan(docs).collect()))
+        got = scan(spark.createDataFrame([(None, "token=abcdefghij, mit license"), (None, "token=abcdefghij, mit license"), (None, None)], "doc_id long, text string")).collect()
+        assert [r["doc_id"] for r in got] == [None] * 3 and len(set(map(str, got))) == 2
+
+
 def test_redact_keeps_rows_and_columns(clashing):
     out = secrets.redact(clashing)
     assert out.columns == clashing.columns and out.count() == clashing.count()
@@ -208,6 +232,33 @@ def test_bpe_against_library(spark, docs, rows, library):
 PIECES = st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "\t ", " \n", "'s", "'LL", "<|endoftext|>", "don't", "1234", "é", " ", "　", "中文", "😀", "abcabcabc", "______", "...", "x" * 80]), st.text(max_size=8)), max_size=12).map("".join)
 
 
+def test_bpe_pairs_by_ranks_and_batches(library):
+    """The check of a pair by undone merges agrees with merging its bytes; many words at once come out as one by one."""
+    import numpy as np
+
+    own = bpe.codec(bpe.default_path())
+    random = np.random.default_rng(8)
+    tokens = list(own.id_of.items())
+    pairs = [(tokens[a], tokens[b]) for a, b in random.integers(len(tokens), size=(3000, 2))] + [((t, i), (t, i)) for t, i in tokens[:3000]]
+    words = [a[0] + b[0] for a, b in pairs]
+    flat, sizes = own.merges.exact(own.single[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words]))
+    found = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    good = own.merges.compatible(np.array([a[1] for a, _ in pairs]), np.array([b[1] for _, b in pairs]))
+    assert good.tolist() == [x == [a[1], b[1]] for x, (a, b) in zip(found, pairs, strict=True)]
+    assert found[:500] == [own.merges.exact_long(own.single[np.frombuffer(w, np.uint8)].tolist()) for w in words[:500]]
+
+
+def test_caches_are_bounded_and_released():
+    cache = bpe.Halves()
+    for k in range(40):
+        assert cache.missing({f"{k}"}) == [f"{k}"]
+        cache.keep([f"{k}"], [bytes(1 << 20)])
+        assert sum(map(len, cache.values())) + sum(map(len, cache.older.values())) <= 2 * bpe.CACHE + (2 << 20)
+    assert not cache.missing({"39"})
+    cache.empty()
+    assert not cache and not cache.older
+
+
 @settings(max_examples=400, deadline=None)
 @given(PIECES)
 def test_bpe_any_text(library, text):
