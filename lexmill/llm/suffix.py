@@ -344,9 +344,13 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     )
 
 
+def shown(stripped: DataFrame) -> DataFrame:
+    """The columns that are reported: also how many bytes stay and what stays as text, in which a character that was cut through is a replacement mark."""
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, how many bytes stay, and what stays as text (a character that was cut through shows as a replacement mark)."""
-    return strip(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.decode("kept", "UTF-8").alias("kept_text"))
+    return shown(strip(table(spark, sf_dir, "documents")))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, int, str]]:

@@ -55,6 +55,15 @@ def test_suffix_null_ids_and_what_is_kept(spark):
     assert {bytes(r["kept"]) for r in got} == {b"", prose(91, 90).encode(), head.encode()}
 
 
+def test_suffix_cuts_through_characters(spark):
+    """Two letters that end in one byte before a passage: that byte goes with it, and the halves show as replacement marks."""
+    rows = [(1, "aé" + prose(92, 90)), (2, "bũ" + prose(92, 90)), (3, "clean é")]
+    got = {r["doc_id"]: r for r in suffix.shown(suffix.strip(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {i: r["kept_text"] for i, r in got.items()} == {1: "a\ufffd", 2: "b\ufffd", 3: "clean é"}
+    assert {i: r["n_kept"] for i, r in got.items()} == {1: 2, 2: 2, 3: 8}
+    assert sorted(tuple(r)[:5] for r in got.values()) == sorted(suffix.brute_force(rows))
+
+
 NEAR = ("doc_id", "n_shingles", "component_id", "kept")
 
 
