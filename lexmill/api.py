@@ -122,7 +122,10 @@ class Engine:
             raise self._fault(first)
         good = judged.filter(F.col("_ordinal") < first["_ordinal"]) if first is not None else judged
         rows = numbered(good.select("_ordinal", "doc_id", "_raw"), "_ordinal", state["next_seq_id"], f"{self.store.folder(name, tag)}/numbered")
-        self._segment(name, meta, root, rows.select("seq_id", "doc_id", "_raw"), tag)
+        # The numbered rows are in order already.
+        self._segment(name, meta, root, rows.select("seq_id", "doc_id", "_raw"), tag, ordered=True)
+        for kind in ("judged", "numbered"):
+            self.store.remove(f"{self.store.folder(name, tag)}/{kind}")
         count = self.store.read(name, "documents", DOCUMENTS, [tag]).count()
         if count:
             self.store.publish(name, state, segments=[*state["segments"], tag], next_seq_id=state["next_seq_id"] + count, doc_num=state["doc_num"] + count)
@@ -207,8 +210,8 @@ class Engine:
     def _code(self):
         return T.folded if self.sounds is None else lambda term: segment.romanized(term, self.sounds)
 
-    def _segment(self, name: str, meta: CollectionMeta, root: schema.FieldInfo, docs: DataFrame, tag: str) -> None:
-        docs = schema.parsed(self.store.write(name, tag, "documents", docs, "seq_id"), root)
+    def _segment(self, name: str, meta: CollectionMeta, root: schema.FieldInfo, docs: DataFrame, tag: str, ordered: bool = False) -> None:
+        docs = schema.parsed(self.store.write(name, tag, "documents", docs, *(() if ordered else ("seq_id",))), root)
         found = [self._postings(docs, root, f.path, meta) for f in schema.indexed(root)]
         if found:
             postings = found[0]
