@@ -10,6 +10,9 @@ alignment may miss, so every alignment with enough weight has a vote; a file
 with none of them is done after that look-up.  Base phrases are posted under
 their rarest word in the same way.
 
+Templates are short licences' notices clause by clause, so that a clause that
+was changed, or broken by words between, leaves the others' places intact.
+
 Defined cases: a null or empty text has no words, no labels and score 0; places
 of base phrases may overlap; repeated rows are scanned each, whatever
 their ids, which may be null; texts may be of any length; columns of other names
@@ -52,6 +55,25 @@ TEMPLATES = (
     ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "cc by", "licensed under cc by 4 0"),
     ("cc0", "cc0 1 0", "this work is dedicated to the public domain under cc0 1 0 universal"),
+    # Further clauses of the full notices, those that other licences do not share.
+    ("mit", "this permission notice shall be included in all copies", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "software distributed under the license is distributed on an as is basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "specific language governing permissions and limitations under the license", "see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "may be used to endorse or promote products derived from this software", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl", "copy of the gnu general public license along with", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "copy of the gnu lesser general public license along with", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl", "copy of the gnu affero general public license along with", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("mpl", "copy of the mpl was not distributed with this file", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("isc", "this permission notice appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("boost", "obtaining a copy of the software and accompanying documentation covered by this license", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("zlib", "in no event will the authors be held liable for any damages", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the origin of this software must not be misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("artistic", "artistic license", "this library is free software you can redistribute it and or modify it under the terms of the artistic license"),
+    ("cc0", "waived all copyright and related or neighboring rights", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"),
 )
 
 #: Lower-cases A-Z and makes every byte outside [a-z0-9] and above 0x7F a blank; as UTF-8 is treated bytewise, each other character stays whole.

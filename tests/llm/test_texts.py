@@ -128,6 +128,25 @@ def test_licenses_by_template():
     assert index.scan(b"any person obtaining permission for a copy of this software charge free without restriction hereby")[5] == ""
 
 
+CLAUSES = [
+    ("The above copyright notice and this permission notice shall be included in all\n * copies or substantial portions of the Software.", "mit"),
+    ("Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.", "bsd"),
+    ("1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.", "zlib"),
+    ("You should have received a copy of the GNU General Public License\nalong with this program.", "gpl"),
+    ("You should have received a copy of the GNU Lesser General Public License along with this library.", "lgpl"),
+    ("If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://example.org.", "mpl"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost"),
+    # Words of clauses, but not a clause.
+    ("All copies of the software shall be included; the above notice is misrepresented by authors in no event.", ""),
+]
+
+
+@pytest.mark.parametrize("text,label", CLAUSES)
+def test_licenses_by_clause(text, label):
+    """One clause of a notice, broken over lines, is enough, and gives no other licence's label."""
+    assert licenses.Index({}, 1000).scan(text.encode())[5] == label
+
+
 def every_alignment(index: licenses.Index, text: bytes) -> tuple[set[str], float]:
     """Labels and score of the templates by trying every place."""
     words, labels, score = licenses.words_of(text), set(), 0.0
