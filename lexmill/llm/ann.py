@@ -8,9 +8,11 @@ There, each of a query's pivots adds its postings' part of Spearman's footrule
 footrule is ranked again by the exact distance on the original vectors.
 
 Defined cases: null and zero vectors and those with null or non-finite
-components, or another dimension than most, take no part; rows repeated under
-one id are one vector; a query's own id is no candidate; ties go to the smaller
-id; with fewer candidates than ``k`` all are returned.
+components take no part; a query's candidates are the vectors of its own
+dimension, as distances between others are not defined (blocks of a dimension
+other than the commonest take their pivots from among their own vectors); rows
+repeated under one id are one vector; a query's own id is no candidate; ties go
+to the smaller id; with fewer candidates than ``k`` all are returned.
 """
 
 from __future__ import annotations
@@ -86,19 +88,20 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return every.sparkSession.createDataFrame([], schema)
-    every, asked = every.filter(F.size("v") == sizes["size"]), asked.filter(F.size("v") == sizes["size"])
-    pivots = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()])
+    pivots = np.array([r["v"] for r in every.filter(F.size("v") == sizes["size"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()])
     blocks, lots = max(1, math.ceil(sizes["count"] / BLOCK)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    every, asked = every.withColumn("size", F.size("v")), asked.withColumn("size", F.size("v"))
     posted = every.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     sent = asked.withColumn("lot", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def look(index: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(index) and len(query):
-            rows = Block(index["vec_id"].to_numpy(), np.stack(index["v"].to_numpy()).astype(float), pivots).search(query["vec_id"].to_numpy(), np.stack(query["v"].to_numpy()).astype(float), k)
+            own = np.stack(index["v"].to_numpy()).astype(float)
+            rows = Block(index["vec_id"].to_numpy(), own, pivots if own.shape[1] == pivots.shape[1] else own[:PIVOTS]).search(query["vec_id"].to_numpy(), np.stack(query["v"].to_numpy()).astype(float), k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = posted.groupBy("block", "lot").cogroup(sent.groupBy("block", "lot")).applyInPandas(look, "query_id long, vec_id long, score double")
+    found = posted.groupBy("size", "block", "lot").cogroup(sent.groupBy("size", "block", "lot")).applyInPandas(look, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

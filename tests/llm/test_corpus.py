@@ -272,6 +272,20 @@ def test_ann_few_and_none(spark):
     assert ann.search(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_ann_keeps_every_dimension(spark):
+    random = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in random.normal(size=8 if k % 5 else 3)]) for k in range(300)] + [(900, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found: dict[int, list] = {}
+    for r in ann.search(table, table.filter("vec_id % 100 = 0 or vec_id = 1")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in (0, 1, 100, 200):
+        own = np.array(rows[q][1])
+        others = [(float(np.sqrt(((np.array(v) - own) ** 2).sum())), k) for k, v in rows if k != q and len(v) == own.size]
+        assert found.pop(q) == [k for _, k in sorted(others)[:10]]
+    assert not found  # 900 has nothing of its dimension
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
