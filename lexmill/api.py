@@ -217,7 +217,10 @@ class Engine:
             postings = found[0]
             for more in found[1:]:
                 postings = postings.unionByName(more)
-            postings = self.store.write(name, tag, "postings", postings, "field", "term")
+            # Written as they come first: a range sort reads its input twice, to draw borders and to deal, and would cut all texts up twice.
+            unsorted = self.store.write(name, tag, "unsorted", postings)
+            postings = self.store.write(name, tag, "postings", unsorted, "field", "term")
+            self.store.remove(f"{self.store.folder(name, tag)}/unsorted")
             stats = self.store.write(name, tag, "term_stats", index.term_stats(postings).select("field", "term", "df", "sum_len"), "field", "term")
             self.store.write(name, tag, "phonetic", index.phonetic(stats, self._code()), "field", "code")
         numbers = schema.numeric(root)
