@@ -5,10 +5,11 @@ remains, the tail, is packed.  Tails are counted by length (fewer lengths than
 a window has places, so the histogram is small at any corpus size).
 Combinations of a few lengths that fill a window exactly are enumerated, and
 their repeat counts are solved for against the histogram by non-negative least
-squares and rounded down to what there is; a greedy pass packs what the
-rounding left, again by whole tails.  Tails that fit nowhere are cut into
-powers of two, which fill windows, or sequences of a power of two, exactly.  So
-no sequence needs padding.
+squares and rounded down to what there is; greedy passes pack what the rounding
+left, the longest tails that fit first.  The gap that whole tails leave is
+filled by those powers of two of one further tail that add up to it; that tail's
+others, and tails that fit nowhere, fill windows of one power of two, or
+sequences of a power of two, exactly.  So no sequence needs padding.
 
 The plan is a function of a length and a tail's number among those of that
 length; numbers come from a range sort, so no length is one task's burden.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_right
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -227,64 +229,84 @@ def least_squares(combos: list[tuple[int, ...]], counts: np.ndarray, steps: int
 
 
 class Plan:
-    """Where the tails go: runs of repeats by length, then powers of two."""
+    """Where the tails go: runs of repeats by length; parts of the tails that are cut fill gaps or powers of two."""
 
     def __init__(self, counts: np.ndarray, window: int):
-        self.window = window
+        self.window, self.sequences = window, 0
         left = counts.astype(np.int64).copy()
-        self.runs: dict[int, list[tuple[int, int, int, int]]] = {}
-        used = np.zeros(counts.size, np.int64)
-        self.sequences = 0
-
-        def repeat(combo: tuple[int, ...], times: int) -> None:
+        #: By length: first number, first sequence, offset, how many stand in one sequence, and the parts (as a sum) placed
+        #: there.  Parts that add up to the length are the tail in one piece; the others go to the powers of two.
+        self.runs: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        #: Tails of each length that stay in one piece.
+        self.used = np.zeros(counts.size, np.int64)
+        given = np.zeros(counts.size, np.int64)
+
+        def give(a: int, count: int, at: int, per: int, parts: int) -> None:
+            self.runs.setdefault(a, []).append((int(given[a]), self.sequences, at, per, parts))
+            given[a] += count
+            left[a] -= count
+            if parts == a:
+                self.used[a] += count
+
+        def repeat(combo: dict[int, int], cut_tail: int = 0) -> None:
+            """Fill windows with so many tails of each length, and the rest of each by parts of a further tail, as long as there are any."""
+            need = dict(combo)
+            if cut_tail:
+                need[cut_tail] = need.get(cut_tail, 0) + 1
+            fill(combo, min(int(left[a]) // m for a, m in need.items()), cut_tail)
+
+        def fill(combo: dict[int, int], times: int, cut_tail: int = 0) -> None:
             at = 0
-            for a in combo:
-                self.runs.setdefault(a, []).append((int(used[a]), times, self.sequences, at))
-                used[a] += times
-                left[a] -= times
-                at += a
+            for a, m in combo.items():
+                give(a, times * m, at, m, a)
+                at += a * m
+            if cut_tail:
+                give(cut_tail, times, at, 1, window - at)
             self.sequences += times
 
-        def possible(combo: tuple[int, ...]) -> int:
-            return min(int(left[a]) // combo.count(a) for a in set(combo))
-
         combos = combinations(counts, window)
         if combos:
             x = least_squares(combos, counts)
             for k in np.argsort(-x, kind="stable").tolist():
-                if (times := min(int(x[k]), possible(combos[k]))) > 0:
-                    repeat(combos[k], times)
-        # Greedy: the longest tail left, then the longest that fit, the last one exactly.
-        misses = 0
+                combo = {a: combos[k].count(a) for a in sorted(set(combos[k]), reverse=True)}
+                if (times := min(int(x[k]), *(int(left[a]) // m for a, m in combo.items()))) > 0:
+                    fill(combo, times)
+        # Greedy: the longest tail left, then the longest that fit.  First those that fill a window, the last one exactly.
         for a in range(counts.size - 1, 0, -1):
-            while left[a] > 0 and misses < 4 * counts.size:
-                trial, room, combo = left.copy(), window - a, [a]
-                trial[a] -= 1
-                while room and len(combo) < 2 * DEPTH:
-                    if trial[min(room, counts.size - 1)] > 0 and room < counts.size:
-                        b = room
-                    else:
-                        fits = np.flatnonzero(trial[: room // 2 + 1] > 0)
-                        if not fits.size:
-                            break
-                        b = int(fits[-1])
-                    combo.append(b)
-                    trial[b] -= 1
-                    room -= b
+            while left[a] > 0:
+                combo, room = self.longest(left, a, exact=True)
                 if room:
-                    misses += 1
                     break
-                repeat(tuple(combo), possible(tuple(combo)))
-        self.used, rest = used, left
-        # Powers of two: class b of length a starts after those of the shorter lengths.
-        lengths = np.arange(counts.size)
-        self.base, self.groups = {}, {}
-        for b in range(window.bit_length() - 1):
-            has = (lengths >> b & 1).astype(bool)
-            per = np.where(has, rest, 0)
-            self.base[b] = np.concatenate(([0], np.cumsum(per)[:-1]))
-            total, room = int(per.sum()), window >> b
-            whole, over = divmod(total, room)
+                repeat(combo)
+        # Then the parts of one tail that add up to the gap; where no tail has them, the gap of one tail fewer.
+        for a in range(counts.size - 1, 0, -1):
+            while left[a] > 0:
+                combo, room = self.longest(left, a)
+                while combo and room and not (cut_tail := self.parted(left, combo, room)):
+                    last = next(reversed(combo))
+                    combo[last] -= 1
+                    room += last
+                    if not combo[last]:
+                        del combo[last]
+                if not combo:
+                    break
+                repeat(combo, cut_tail if room else 0)
+        for a in np.flatnonzero(left).tolist():
+            give(a, int(left[a]), 0, 1, 0)
+        # Powers of two: of each exponent, a run's parts come after those of the runs before.
+        self.base: dict[tuple[int, int], dict[int, int]] = {}
+        self.groups = {}
+        total = dict.fromkeys(range(window.bit_length() - 1), 0)
+        for a in sorted(self.runs):
+            starts = [r[0] for r in self.runs[a]] + [int(given[a])]
+            for k, (first, _, _, _, parts) in enumerate(self.runs[a]):
+                own = self.base[a, k] = {}
+                for b in bits_of(a - parts):
+                    own[b] = total[b]
+                    total[b] += starts[k + 1] - first
+        for b, n in total.items():
+            room = window >> b
+            whole, over = divmod(n, room)
             groups = [(0, self.sequences, room)] if whole else []
             self.sequences += whole
             at = whole * room
@@ -294,19 +316,57 @@ class Plan:
                 at += 1 << e
             self.groups[b] = groups
 
+    def longest(self, left: np.ndarray, a: int, exact: bool = False) -> tuple[dict[int, int], int]:
+        """How many tails of each length, the longest that fit, and the room that is left; of at most 2 * DEPTH lengths.
+
+        If ``exact``, the length that fills the room comes first, and others leave at least their own length free.
+        """
+        combo, room = {a: 1}, self.window - a
+        while room and len(combo) < 2 * DEPTH:
+            top = min(room // 2 if exact else room, left.size - 1)
+            free = left[: top + 1].copy()
+            for x, m in combo.items():
+                if x <= top:
+                    free[x] -= m
+            if exact and room < left.size and left[room] > combo.get(room, 0):
+                b, m = room, 1
+            else:
+                fits = np.flatnonzero(free[1:] > 0) + 1
+                if not fits.size:
+                    break
+                b = int(fits[-1])
+                m = 1 if exact else min(int(free[b]), room // b)
+            combo[b] = combo.get(b, 0) + m
+            room -= b * m
+        return combo, room
+
+    def parted(self, left: np.ndarray, combo: dict[int, int], gap: int) -> int:
+        """A length whose powers of two include those of ``gap``, with the fewest others; 0 if there is none."""
+        free = left.copy()
+        for x, m in combo.items():
+            free[x] -= m
+        has = np.flatnonzero(free > 0)
+        has = has[(has & gap) == gap]
+        return int(min(has.tolist(), key=lambda x: (x.bit_count(), x), default=0))
+
     def place(self, tail: int, number: int) -> list[tuple[int, int, int, int]]:
         """(start in the tail, length, sequence, offset) of the pieces of the ``number``-th tail of that length."""
-        if number < self.used[tail]:
-            for first, times, sequence, at in self.runs[tail]:
-                if first <= number < first + times:
-                    return [(0, tail, sequence + number - first, at)]
-        number -= int(self.used[tail])
+        runs = self.runs[tail]
+        k = bisect_right(runs, number, key=lambda r: r[0]) - 1
+        first, sequence, at, per, parts = runs[k]
+        turn, slot = divmod(number - first, per)
+        if parts == tail:
+            return [(0, tail, sequence + turn, at + slot * tail)]
         out, start = [], 0
         for b in bits_of(tail):
-            place = int(self.base[b][tail]) + number
-            first, sequence, room = next(g for g in reversed(self.groups[b]) if g[0] <= place)
-            turn, slot = divmod(place - first, room)
-            out.append((start, 1 << b, sequence + turn, slot << b))
+            if parts >> b & 1:
+                out.append((start, 1 << b, sequence + turn, at))
+                at += 1 << b
+            else:
+                place = self.base[tail, k][b] + number - first
+                begin, pool, room = next(g for g in reversed(self.groups[b]) if g[0] <= place)
+                group, spot = divmod(place - begin, room)
+                out.append((start, 1 << b, pool + group, spot << b))
             start += 1 << b
         return out
 

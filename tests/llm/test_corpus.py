@@ -337,6 +337,40 @@ def test_packing_plan_fills_windows():
     assert sum(plan.used) > 0.8 * counts.sum()
 
 
+def test_packing_plan_leaves_no_gap():
+    """Tails of one length, of few lengths and of all: each id has one place, and sequences are full or a power of two."""
+    random = np.random.default_rng(4)
+    for turn in range(60):
+        window = 1 << int(random.integers(3, 8))
+        counts = np.bincount(random.integers(1, window, int(random.integers(0, 200))), minlength=window)
+        counts *= random.random(window) < (1.0, 0.3, 0.05)[turn % 3]
+        plan = packing.Plan(counts, window)
+        sequences: dict[int, list] = {}
+        for a in np.flatnonzero(counts).tolist():
+            for k in range(int(counts[a])):
+                pieces = plan.place(a, k)
+                assert [start for start, _, _, _ in pieces] == [sum(n for _, n, _, _ in pieces[:i]) for i in range(len(pieces))]
+                assert [n for _, n, _, _ in pieces] in ([a], [1 << b for b in packing.bits_of(a)])
+                for _, n, sequence, at in pieces:
+                    sequences.setdefault(sequence, []).append((at, n))
+        assert sorted(sequences) == list(range(plan.sequences))
+        for places in sequences.values():
+            end = 0
+            for at, n in sorted(places):
+                assert at == end
+                end += n
+            assert end == window or end & (end - 1) == 0
+
+
+def test_packing_plan_cuts_few_tails():
+    counts = np.zeros(4096, np.int64)
+    counts[5] = 10_000
+    # 819 of them leave one place free, which the 1 of a cut one (4 + 1) fills.
+    assert packing.Plan(counts, 4096).used[5] > 9_800
+    counts = np.bincount(np.random.default_rng(5).integers(1, 4096, 30_000), minlength=4096)
+    assert packing.Plan(counts, 4096).used.sum() > 0.93 * counts.sum()
+
+
 def test_packing_cases(spark, clashing, docs):
     """Null ids and repeated rows are packed each; columns of other names don't matter; what the library encodes comes out."""
     rows = [(None, "one two"), (None, None), (7, "Ünïcode ÀÉ"), (7, "Ünïcode ÀÉ"), (8, "漢字 \x1c x" * 40), (9, "x" * 5000 + " y")]
