@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,6 +97,31 @@ def test_neardup_edge_cases(empty, docs, clashing):
     assert tuples(neardup.groups(clashing), *NEAR) == tuples(neardup.groups(docs), *NEAR)
 
 
+def shuffled_rows(spark, since=-1):
+    """Rows that stages after ``since`` have written to shuffles, and the last stage so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    each = [(s.stageId(), s.shuffleWriteRecords()) for s in (stages.apply(k) for k in range(stages.size()))]
+    return sum(n for k, n in each if k > since), max((k for k, _ in each), default=-1)
+
+
+def test_neardup_own_shingles(spark, monkeypatch):
+    """Against brute force, over several parts and slices; shingles are dealt packed, not as a row each."""
+    monkeypatch.setattr(neardup, "DEAL", 1 << 9)
+    common = prose(50, 40)
+    table = [(k, f"{prose(400 + k // 2, 200)} {common} {prose(600 + k, 150)}") for k in range(30)] + [(40, "one two"), (41, "one two three four five"), (42, common)]
+    sets = {k: neardup.Shingler().set_of(t.encode()).tolist() for k, t in table}
+    count = Counter(x for s in sets.values() for x in s)
+    texts = spark.createDataFrame([(k, t, len(sets[k])) for k, t in table], "node long, text string, n long").repartition(3).cache()
+    texts.count()
+    _, last = shuffled_rows(spark)
+    got = dict(map(tuple, neardup.own_shingles(texts, neardup.WORDS).collect()))
+    rows, _ = shuffled_rows(spark, last)
+    assert got == {k: u for k, s in sets.items() if (u := sum(count[x] == 1 for x in s))}
+    assert rows < len(count) / 10
+
+
 def test_neardup_tells_documents_apart_by_id_and_text(spark):
     """Null ids, one id of several texts, repeated rows."""
     a, b, c = prose(60, 80), prose(61, 80), prose(62, 80)
