@@ -235,5 +235,6 @@ def batch(postings: DataFrame, stats: DataFrame, n_docs: int, queries: DataFrame
     met = able.join(known, "query_id").join(asked, ["term", "seq_id"])
     part = scorer(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("avg_doc_len"), n_docs)
     hits = met.groupBy("query_id", "seq_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("got"), F.sum(part).alias("bm25")).filter("n = got")
-    order = W.partitionBy("query_id").orderBy(F.desc("bm25"), "seq_id")
+    # Parts come in any order, so sums of equal parts differ in their last bits: rounded, they tie and the document decides.
+    order = W.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "seq_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "seq_id", "bm25")

@@ -3,13 +3,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.api import Engine
 from lexmill.errors import Conflict, InvalidFormat, NotAuthorized, NotFound
 from lexmill.functions import text as T
 from lexmill.functions.segment import Segmenter
 from lexmill.model import SuggestConfig
-from lexmill.operators import index, suggest
+from lexmill.operators import index, search, suggest
 from lexmill.streaming.ingest import ingest
 
 DISH = {
@@ -126,6 +127,22 @@ def test_statistics_of_parts_add_up(spark, tiny):
     assert sorted(map(tuple, whole.select("term", "df", "sum_len").collect())) == sorted(map(tuple, merged.select("term", "df", "sum_len").collect()))
 
 
+def test_batch_ties_of_sums_go_to_the_earlier_document(spark):
+    """Documents of equal scores up to the last bits of the sums, in which the later one is ahead."""
+    parts = {("a", 0): 0.1, ("b", 0): 0.2, ("c", 0): 0.3, ("a", 1): 0.30000000000000004, ("b", 1): 0.2, ("c", 1): 0.1 + 2e-16}
+    found = spark.createDataFrame([("t", w, d, i + 1, 10) for i, (w, d) in enumerate(parts)], "field string, term string, seq_id long, tf long, doc_len long")
+    stats = spark.createDataFrame([("t", w, 2, 10.0) for w in "abc"], "field string, term string, df long, avg_doc_len double")
+    queries = spark.createDataFrame([(1, "a b c")], "query_id long, text string")
+    values = list(parts.values())
+    assert sum(values[3:]) > sum(values[:3])
+
+    def scorer(tf, df, doc_len, avg_doc_len, n_docs):
+        return F.element_at(F.array(*map(F.lit, values)), tf.cast("int"))
+
+    got = search.batch(found, stats, 2, queries, "t", scorer).orderBy("rank").collect()
+    assert [r["seq_id"] for r in got] == [0, 1]
+
+
 def test_stream_equals_batch(spark, engine, tmp_path):
     for k, d in enumerate([*DOCS, DOCS[0], {"id": 99}]):
         (tmp_path / "in").mkdir(exist_ok=True)
