@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.functions import cut
+
 #: One byte each; line breaks and other marks are no separators.
 SEPARATORS = "[ .|,:;&]"
 
@@ -35,15 +36,8 @@ def query_terms(text: str) -> list[tuple[str, list[int]]]:
 
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a token: id_col, term, offset (byte position), doc_len (bytes of the text).
-
-    Documents are dealt by id before they are cut up, so that the running sum needs no exchange of tokens.
-    """
-    dealt = docs.select(id_col, F.col(text_col).alias("_text")).filter("_text is not null").repartition(F.col(id_col))
-    cut = dealt.select(id_col, F.octet_length("_text").cast("long").alias("doc_len"), F.posexplode(pieces(F.col("_text"))).alias("_pos", "term"))
-    before = W.partitionBy(id_col).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
-    placed = cut.withColumn("offset", F.coalesce(F.sum(F.octet_length("term") + 1).over(before), F.lit(0)).cast("long"))
-    return placed.filter("term <> ''").select(id_col, "term", "offset", "doc_len")
+    """One row a token: id_col, term, offset (byte position), doc_len (bytes of the text).  Each text is cut in its place."""
+    return cut.tokens(docs, id_col, text_col)
 
 
 def starts_outside_ascii(term: Column) -> Column:

@@ -120,6 +120,26 @@ def test_tokens_keep_case_and_line_breaks(spark):
     assert {(r["term"], tuple(r["offsets"])) for r in few} == {("ab", (10,)), ("é", (3,))}
 
 
+ODD = ["", " ", "a", ".a", "a.", "a..é b", "\n", "x" * 70_000 + " y", None, "é,é;é", "a a|a&b:b"]
+
+
+def moved(df):
+    """The steps of a plan that move or sort rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [step for step in ("Exchange", "Sort") if step in plan]
+
+
+def test_texts_are_cut_in_their_place(spark):
+    """Tokens need no exchange and no sort, and stand where they did: odd texts, null and struct ids, more than one slice of texts."""
+    df = spark.createDataFrame([(None if i == 7 else i, (i, i % 2), t) for i, t in enumerate(ODD * 70)], "i long, key struct<a:long,b:int>, t string").coalesce(1)
+    assert moved(T.tokens(df, "i", "t")) == []
+    want = sorted((i, p, at, len(t.encode())) for i, t in enumerate(ODD * 70) if t for p, ats in T.query_terms(t) for at in ats)
+    got = T.tokens(df, "key", "t")
+    assert got.columns == ["key", "term", "offset", "doc_len"] and got.schema["key"].dataType == df.schema["key"].dataType
+    assert sorted((r["key"]["a"], *r[1:]) for r in got.collect()) == want
+    assert {r["term"] for r in T.tokens(df, "i", "t").filter("i is null").collect()} == {"x" * 70_000, "y"}
+
+
 def test_statistics_of_parts_add_up(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     whole = index.stats_of_texts(docs, "text")
