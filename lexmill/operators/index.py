@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import cut
 from lexmill.functions import text as T
 
 POSTING = ["field", "term", "seq_id", "elem", "tf", "doc_len", "offsets"]
@@ -12,14 +13,14 @@ POSTING = ["field", "term", "seq_id", "elem", "tf", "doc_len", "offsets"]
 
 def postings(docs: DataFrame, id_col: str, text_col: str, field: str | None = None) -> DataFrame:
     """All postings of a string column: field, term, seq_id, elem, tf, doc_len, offsets (sorted byte positions)."""
-    found = T.tokens(docs, id_col, text_col).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list("offset")).alias("offsets"))
+    found = cut.postings(docs, id_col, text_col)
     return found.select(F.lit(field or text_col).alias("field"), "term", F.col(id_col).alias("seq_id"), F.lit(0).alias("elem"), "tf", "doc_len", "offsets")
 
 
 def nested_postings(docs: DataFrame, id_col: str, elements: Column, field: str) -> DataFrame:
     """Postings of an array of strings: one posting a term and element, offsets from 0 in each element."""
     rows = docs.select(F.col(id_col).alias("_id"), F.posexplode(elements).alias("elem", "_text")).withColumn("_key", F.struct("_id", "elem"))
-    found = T.tokens(rows, "_key", "_text").groupBy("term", "_key").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list("offset")).alias("offsets"))
+    found = cut.postings(rows, "_key", "_text")
     return found.select(F.lit(field).alias("field"), "term", F.col("_key._id").alias("seq_id"), F.col("_key.elem").alias("elem"), "tf", "doc_len", "offsets")
 
 

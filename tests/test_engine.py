@@ -140,6 +140,14 @@ def test_texts_are_cut_in_their_place(spark):
     assert {r["term"] for r in T.tokens(df, "i", "t").filter("i is null").collect()} == {"x" * 70_000, "y"}
 
 
+def test_postings_are_found_within_their_text(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD * 70)], "i long, t string").coalesce(1)
+    found = index.postings(df, "i", "t")
+    assert moved(found) == []
+    want = sorted((p, i, len(ats), len(t.encode()), tuple(ats)) for i, t in enumerate(ODD * 70) if t for p, ats in T.query_terms(t))
+    assert sorted((r["term"], r["seq_id"], r["tf"], r["doc_len"], tuple(r["offsets"])) for r in found.collect()) == want
+
+
 def test_statistics_of_parts_add_up(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     whole = index.stats_of_texts(docs, "text")
