@@ -7,15 +7,18 @@ and suggestions are sums over the segments; ``rebuild`` merges all segments into
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.errors import Conflict, InvalidFormat, NotAuthorized, NotFound
+from lexmill.functions import cut
 from lexmill.functions import score as S
 from lexmill.functions import segment
 from lexmill.functions import text as T
@@ -28,6 +31,10 @@ POSTINGS = "field string, term string, seq_id long, elem int, tf long, doc_len l
 STATS = "field string, term string, df long, sum_len long"
 PHONETIC = "field string, code string, term string"
 FREQ = "segment string, freq long, last_seen struct<doc:long,place:int>"
+#: Documents that are looked up by a list of their numbers.
+MOST_LOOKED_UP = 1000
+#: Removed documents whose numbers are broadcast, so that tables keep their order without them.
+MOST_LEFT_OUT = 1 << 22
 #: Segments after which an addition merges them all.
 MOST_SEGMENTS = 64
 
@@ -69,9 +76,14 @@ class Engine:
         """Rows of all segments but those of removed documents."""
         rows = self.store.read(name, kind, table_schema, state["segments"])
         if state["removals"]:
-            rows = index.remove(rows, self.store.read(name, "removed", "seq_id long, doc_id long", state["removals"]))
+            rows = index.remove(rows, self._removed(name, state))
         return rows
 
+    def _removed(self, name: str, state: dict[str, Any]) -> DataFrame:
+        """Numbers of removed documents; broadcast while they are few, so that no table is moved for them."""
+        gone = self.store.read(name, "removed", "seq_id long, doc_id long", state["removals"]).select("seq_id")
+        return F.broadcast(gone) if few_left_out(state) else gone
+
     def documents(self, name: str, state: dict[str, Any] | None = None) -> DataFrame:
         """seq_id, doc_id, _raw of all documents."""
         self.store.meta(name)
@@ -110,22 +122,21 @@ class Engine:
         batch = self._batch(documents)
         state = self.store.current(name)
         tag = tag or f"v{uuid.uuid4().hex}"
-        checked = schema.validated(batch, root)
-        taken = checked.join(self.documents(name, state).select("doc_id", F.lit(True).alias("_taken")), "doc_id", "left")
+        # Read and judged once; from here on only what each step needs is moved.
+        checked = self.store.write(name, tag, "checked", schema.validated(batch, root).select("_ordinal", "doc_id", "_raw", "_errors"))
+        taken = checked.filter("doc_id is not null").select("_ordinal", "doc_id").join(self.documents(name, state).select("doc_id", F.lit(True).alias("_taken")), "doc_id", "left")
         again = W.partitionBy("doc_id").orderBy("_ordinal")
-        judged = taken.withColumn("_conflict", F.col("doc_id").isNotNull() & (F.coalesce("_taken", F.lit(False)) | (F.row_number().over(again) > 1)))
-        judged = self.store.write(name, tag, "judged", judged.select("_ordinal", "doc_id", "_raw", "_errors", "_conflict"))
-        bad = (F.size("_errors") > 0) | F.col("_conflict")
-        first = judged.filter(bad).select("_ordinal", "_errors", "_conflict", "doc_id").orderBy("_ordinal").first()
+        clash = taken.withColumn("_nth", F.row_number().over(again)).filter("_taken or _nth > 1").select("_ordinal", F.array().cast("array<string>").alias("_errors"), F.lit(True).alias("_conflict"), "doc_id")
+        bad = checked.filter(F.size("_errors") > 0).select("_ordinal", "_errors", F.lit(False).alias("_conflict"), "doc_id")
+        first = bad.unionByName(clash).orderBy("_ordinal", "_conflict").first()
         if first is not None and on_error != "prefix":
             self.store.remove(self.store.folder(name, tag))
             raise self._fault(first)
-        good = judged.filter(F.col("_ordinal") < first["_ordinal"]) if first is not None else judged
-        rows = numbered(good.select("_ordinal", "doc_id", "_raw"), "_ordinal", state["next_seq_id"], f"{self.store.folder(name, tag)}/numbered")
-        # The numbered rows are in order already.
+        good = checked.filter(F.col("_ordinal") < first["_ordinal"]) if first is not None else checked
+        rows = numbered(good.select("_ordinal", "doc_id", "_raw"), "_ordinal", "doc_id", state["next_seq_id"])
+        # The numbered rows are in order already, or in runs of it.
         self._segment(name, meta, root, rows.select("seq_id", "doc_id", "_raw"), tag, ordered=True)
-        for kind in ("judged", "numbered"):
-            self.store.remove(f"{self.store.folder(name, tag)}/{kind}")
+        self.store.remove(f"{self.store.folder(name, tag)}/checked")
         count = self.store.read(name, "documents", DOCUMENTS, [tag]).count()
         if count:
             self.store.publish(name, state, segments=[*state["segments"], tag], next_seq_id=state["next_seq_id"] + count, doc_num=state["doc_num"] + count)
@@ -181,13 +192,15 @@ class Engine:
             raise NotFound("no such document")
         if not count:
             return
-        minus = self.postings(name, state).join(removed.select("seq_id"), "seq_id", "left_semi")
+        own = removed.select("seq_id")
+        own = F.broadcast(own) if count <= MOST_LEFT_OUT else own
+        minus = self.postings(name, state).join(own, "seq_id", "left_semi")
         minus = index.term_stats(minus).select("field", "term", (-F.col("df")).alias("df"), (-F.col("sum_len")).alias("sum_len"))
         self.store.write(name, tag, "term_stats", minus, "field", "term")
         meta, root = self._meta(name)
         if meta.suggest and schema.suggested(root):
-            own = schema.parsed(self.documents(name, state).join(removed.select("seq_id"), "seq_id", "left_semi"), root)
-            freq = suggest.frequencies(self._segments(own, root)).select("segment", (-F.col("freq")).alias("freq"), F.lit(None).cast("struct<doc:long,place:int>").alias("last_seen"))
+            texts = schema.parsed(self.documents(name, state).join(own, "seq_id", "left_semi"), root)
+            freq = suggest.frequencies(self._segments(texts, root)).select("segment", (-F.col("freq")).alias("freq"), F.lit(None).cast("struct<doc:long,place:int>").alias("last_seen"))
             self.store.write(name, tag, "suggest_freq", freq, "segment")
         self.store.publish(name, state, removals=[*state["removals"], tag], doc_num=state["doc_num"] - count)
 
@@ -200,7 +213,11 @@ class Engine:
         """Merge all segments into one, with its tables derived anew from the documents."""
         meta, root = self._meta(name)
         state, tag = self.store.current(name), tag or f"v{uuid.uuid4().hex}"
-        self._segment(name, meta, root, self.documents(name, state), tag)
+        if len(state["segments"]) == 1 and few_left_out(state):
+            # One segment's tables are in order, and stay so when rows are left out.
+            self._segment(name, meta, root, self.documents(name, state), tag, ordered=True, postings=self.postings(name, state), stats=self.term_stats(name, state))
+        else:
+            self._segment(name, meta, root, self.documents(name, state), tag)
         self.store.publish(name, state, segments=[tag], removals=[], merged=[*state.get("merged", []), *state["segments"]])
 
     # Derived tables: a function of a segment's documents.
@@ -210,18 +227,16 @@ class Engine:
     def _code(self):
         return T.folded if self.sounds is None else lambda term: segment.romanized(term, self.sounds)
 
-    def _segment(self, name: str, meta: CollectionMeta, root: schema.FieldInfo, docs: DataFrame, tag: str, ordered: bool = False) -> None:
+    def _segment(self, name: str, meta: CollectionMeta, root: schema.FieldInfo, docs: DataFrame, tag: str, ordered: bool = False, postings: DataFrame | None = None, stats: DataFrame | None = None) -> None:
+        """Write a segment; ``postings``, in order, and ``stats`` are those of the documents where they are known."""
         docs = schema.parsed(self.store.write(name, tag, "documents", docs, *(() if ordered else ("seq_id",))), root)
-        found = [self._postings(docs, root, f.path, meta) for f in schema.indexed(root)]
-        if found:
-            postings = found[0]
-            for more in found[1:]:
-                postings = postings.unionByName(more)
-            # Written as they come first: a range sort reads its input twice, to draw borders and to deal, and would cut all texts up twice.
-            unsorted = self.store.write(name, tag, "unsorted", postings)
-            postings = self.store.write(name, tag, "postings", unsorted, "field", "term")
+        indexed = schema.indexed(root)
+        if indexed:
+            if postings is None:
+                postings = self._postings(name, tag, docs, root, [f.path for f in indexed], meta)
+            postings = self.store.write(name, tag, "postings", postings)
             self.store.remove(f"{self.store.folder(name, tag)}/unsorted")
-            stats = self.store.write(name, tag, "term_stats", index.term_stats(postings).select("field", "term", "df", "sum_len"), "field", "term")
+            stats = self.store.write(name, tag, "term_stats", (index.term_stats(postings) if stats is None else stats).select("field", "term", "df", "sum_len"), "field", "term")
             self.store.write(name, tag, "phonetic", index.phonetic(stats, self._code()), "field", "code")
         numbers = schema.numeric(root)
         if numbers:
@@ -236,13 +251,23 @@ class Engine:
             rows = rows.unionByName(more)
         return suggest.segments(rows, "text", "seq_id")
 
-    def _postings(self, docs: DataFrame, root: schema.FieldInfo, path: str, meta: CollectionMeta) -> DataFrame:
-        rows = docs.select("seq_id", F.posexplode(schema.values(F.col("doc"), root, path)).alias("elem", "text"))
-        rows = rows.withColumn("_key", F.struct("seq_id", "elem"))
+    def _postings(self, name: str, tag: str, docs: DataFrame, root: schema.FieldInfo, paths: list[str], meta: CollectionMeta) -> DataFrame:
+        """Postings of all these fields, sorted by field and term.
+
+        A term's postings of a slice of texts are moved and sorted as one row.  The range sort reads its input twice, to
+        draw borders and to deal, which cuts the texts up again but writes nothing.
+        """
         own = self._tokens(meta)
-        cut = own.tokens(rows, "_key", "text") if own else T.tokens(rows, "_key", "text")
-        found = cut.groupBy("term", "_key").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list("offset")).alias("offsets"))
-        return found.select(F.lit(path).alias("field"), "term", "_key.seq_id", F.col("_key.elem").alias("elem"), "tf", "doc_len", "offsets")
+        rows = {path: docs.select("seq_id", F.posexplode(schema.values(F.col("doc"), root, path)).alias("elem", "text")).select(F.struct("seq_id", "elem").alias("_key"), "text") for path in paths}
+        if own is None:
+            packed = reduce(DataFrame.unionByName, (cut.packed(r, "_key", "text").withColumn("field", F.lit(path)) for path, r in rows.items()))
+            order = ("field", "term", "first")
+            return cut.unpacked(packed.repartitionByRange(*order).sortWithinPartitions(*order))
+        grouped = lambda r: own.tokens(r, "_key", "text").groupBy("term", "_key").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_list("offset")).alias("offsets"))
+        found = reduce(DataFrame.unionByName, (grouped(r).select(F.lit(path).alias("field"), "term", "_key.seq_id", F.col("_key.elem").alias("elem"), "tf", "doc_len", "offsets") for path, r in rows.items()))
+        # Written as they come first: a tokenizer's work is not done twice.
+        order = ("field", "term", "seq_id")
+        return self.store.write(name, tag, "unsorted", found).repartitionByRange(*order).sortWithinPartitions(*order)
 
     # Queries.
     def search(self, name: str, request: str | dict, scorer: str = "bm25", k: int = TOP_K, exhaustive: bool = False, fuzzy: bool = True, relax: bool = True) -> DataFrame:
@@ -277,7 +302,12 @@ class Engine:
         top = search.search(
             wanted, stats, state["doc_num"], query, sort_columns, S.SCORERS[scorer], fuzzy, exhaustive, relax, k, own.query_terms if own else T.query_terms, self._code(), sound
         )
-        return top.join(docs, "seq_id").orderBy("rank").select("rank", "seq_id", "score", "bm25", "doc_id", "_raw")
+        # The top rows are few; looked up by number, the documents are neither moved nor read whole.
+        rows = top.select("rank", "seq_id", "score", "bm25").collect()  # at most k rows
+        if len(rows) <= MOST_LOOKED_UP:
+            docs = docs.filter(F.col("seq_id").isin([r["seq_id"] for r in rows]))
+            top = F.broadcast(self.spark.createDataFrame(rows, "rank int, seq_id long, score double, bm25 double"))
+        return docs.join(top, "seq_id").orderBy("rank").select("rank", "seq_id", "score", "bm25", "doc_id", "_raw")
 
     def search_json(self, name: str, request: str | dict, **options: Any) -> str:
         import time
@@ -297,24 +327,66 @@ class Engine:
         return suggest.lookup(suggest.best(self.suggest_freq(name).filter(F.col("segment").startswith(prefix)), meta.suggest), prefix)
 
 
-def numbered(rows: DataFrame, order: str, base: int, path: str) -> DataFrame:
-    """``rows`` with seq_id from ``base`` on in the order of a column.
+#: Bytes of documents that a task sorts, and the most tasks among which they are dealt.
+PART_BYTES, MOST_PARTS = 1 << 26, 1024
+#: Runs of documents in order, up to which they are numbered in their place.
+MOST_RUNS = 4096
+
+
+def few_left_out(state: dict[str, Any]) -> bool:
+    """Whether the removed documents, of which no more can be than numbers without a document, are few enough to be broadcast."""
+    return state["next_seq_id"] - state["doc_num"] <= MOST_LEFT_OUT
+
+
+def part_of(value: Column, borders: list[int]) -> Column:
+    """How many of the borders lie at or below a value, by halving."""
+    if not borders:
+        return F.lit(0)
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < borders[middle], within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(borders))
+
+
+def numbered(rows: DataFrame, order: str, tie: str, base: int) -> DataFrame:
+    """``rows`` of a table, read from its files, with seq_id from ``base`` on in the order of a column, then of another, both together of distinct values.
 
-    The sorted parts are written to ``path`` first, since another run would draw other borders; only the parts' sizes
-    come to the driver.
+    Rows that stand in a few ascending runs, which share no stretch of the order, are numbered in their place.  Others are
+    dealt by borders that are fixed beforehand, so that their numbers follow from exact counts of the parts, and are moved
+    and sorted once.  Only a row a run, or borders and counts, come to the driver.
     """
-    spark = rows.sparkSession
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    parts.write.mode("overwrite").parquet(path)
-    parts = spark.read.parquet(path)
-    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    by_place = W.partitionBy("_file").orderBy("_at")
+    begins = F.coalesce(F.lag(order).over(by_place) >= F.col(order), F.lit(True)) | F.col(order).isNull()
+    runs = rows.select(order, *place).withColumn("_new", begins.cast("int")).withColumn("_run", F.sum("_new").over(by_place))
+    runs = runs.groupBy("_file", "_run").agg(F.min("_at").alias("begin"), F.max("_at").alias("end"), F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n"))
+    found = runs.limit(MOST_RUNS + 1).collect()
+    found.sort(key=lambda r: (r["low"] is not None, r["low"]))
+    whole = len(found) <= MOST_RUNS and all(r["low"] is not None and r["end"] - r["begin"] + 1 == r["n"] for r in found)
     starts, at = [], base
-    for part in sorted(sizes):
-        starts.append((part, at))
-        at += sizes[part]
-    table = spark.createDataFrame(starts, "_part int, _start long")
-    within = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return parts.join(F.broadcast(table), "_part").withColumn("seq_id", F.col("_start") + within).drop("_part", "_mono", "_start")  # a row a part
+    if whole and all(a["high"] < b["low"] for a, b in itertools.pairwise(found)):
+        of_file: dict[str, list[tuple[int, int]]] = {}
+        for r in found:
+            of_file.setdefault(r["_file"], []).append((r["begin"], at - r["begin"]))
+            at += r["n"]
+        table = rows.sparkSession.createDataFrame([(f, sorted(x)) for f, x in of_file.items()], "_file string, _runs array<struct<begin:long,shift:long>>")
+        own = F.element_at(F.filter("_runs", lambda r: r["begin"] <= F.col("_at")), -1)
+        return rows.select(*rows.columns, *place).join(F.broadcast(table), "_file").withColumn("seq_id", F.col("_at") + own["shift"]).drop("_file", "_at", "_runs")  # a row a file
+    size = rows.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
+    n = min(MOST_PARTS, size // PART_BYTES + 1)
+    borders = sorted({min(int(b), (1 << 63) - 1) for b in rows.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    part = part_of(F.col(order), borders)
+    counts = {r["_part"]: r["n"] for r in rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for k in range(len(borders) + 1):
+        starts.append(at)
+        at += counts.get(k, 0)
+    parts = rows.repartitionById(len(starts), part).sortWithinPartitions(order, tie).withColumn("_mono", F.monotonically_increasing_id())
+    start = F.get(F.array(*map(F.lit, starts)).cast("array<bigint>"), F.shiftright("_mono", 33).cast("int"))
+    return parts.withColumn("seq_id", start + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mono")
 
 
 __all__ = ["Engine", "SuggestConfig"]

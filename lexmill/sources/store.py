@@ -102,7 +102,7 @@ class Store:
     def write(self, name: str, tag: str, kind: str, df: DataFrame, *order: str) -> DataFrame:
         """Write a table of a segment, sorted for pruned reads, and read it back."""
         path = f"{self.folder(name, tag)}/{kind}"
-        (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(path)
+        (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, name: str, kind: str, schema: Any, tags: list[str]) -> DataFrame:

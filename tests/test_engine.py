@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill import api
 from lexmill.api import Engine
 from lexmill.errors import Conflict, InvalidFormat, NotAuthorized, NotFound
+from lexmill.functions import cut
 from lexmill.functions import text as T
 from lexmill.functions.segment import Segmenter
 from lexmill.model import SuggestConfig
@@ -232,6 +234,48 @@ def test_readers_keep_their_version_and_writers_do_not_overwrite(engine):
     assert engine.store.current("dishes")["doc_num"] == 5
 
 
+@pytest.mark.parametrize("case", ["ordered", "runs", "shuffled", "negative"])
+def test_documents_are_numbered_in_order_by_one_move_at_most(spark, tmp_path, monkeypatch, case):
+    """Rows in runs of the order are numbered where they stand; others are moved once; the numbers are those of the order."""
+    monkeypatch.setattr(api, "PART_BYTES", 64)
+    keys = [5 * i - (700 if case == "negative" else 0) for i in range(300)]
+    if case == "runs":
+        keys = keys[200:] + keys[:90] + keys[90:200]
+    elif case != "ordered":
+        keys = keys[::7] + [k for i, k in enumerate(keys) if i % 7]
+    path = f"{tmp_path}/rows"
+    spark.createDataFrame([(k, i, f"row {k}") for i, k in enumerate(keys)], "_ordinal long, doc_id long, _raw string").repartition(3, F.col("_ordinal") >= 800).sortWithinPartitions("doc_id").write.parquet(path)
+    found = api.numbered(spark.read.parquet(path), "_ordinal", "doc_id", 10)
+    assert ("Exchange RoundRobin" in found._jdf.queryExecution().toString() or "REPARTITION" in found._jdf.queryExecution().toString()) == (case not in ("ordered", "runs"))
+    assert sorted(tuple(r) for r in found.select("seq_id", "_ordinal", "_raw").collect()) == [(10 + i, k, f"row {k}") for i, k in enumerate(sorted(keys))]
+
+
+def test_postings_are_packed_and_unpacked(spark):
+    """Elements, numbers far apart and out of order, several rows of texts a slice: what is unpacked is what was packed."""
+    rows = [(s, e, t) for s in (5, 1 << 40, 3, 0, 1 << 31) for e, t in enumerate(ODD * (3 if s == 3 else 1))]
+    df = spark.createDataFrame([((s, e), t) for s, e, t in rows], "_key struct<seq_id:long,elem:int>, t string").coalesce(1)
+    got = cut.unpacked(cut.packed(df, "_key", "t").withColumn("field", F.lit("t"))).collect()
+    want = sorted(("t", p, s, e, len(ats), len(t.encode()), tuple(ats)) for s, e, t in rows if t for p, ats in T.query_terms(t))
+    assert sorted((*r[:6], tuple(r["offsets"])) for r in got) == want
+
+
+def test_found_documents_are_not_moved_nor_the_others_read(engine):
+    found = engine.search("dishes", {"query": "fish", "query by": ["title"]})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(seq_id" not in plan and "PushedFilters: [In(seq_id" in plan.replace("IsNotNull(seq_id), ", "")
+
+
+def test_a_rebuilt_segment_keeps_its_order(engine):
+    """One segment with removals is merged by leaving rows out; all its tables equal those derived from its documents."""
+    engine.remove_documents("dishes", [12])
+    tables = lambda: [sorted(map(repr, t.collect())) for t in (engine.postings("dishes"), engine.term_stats("dishes"), engine.documents("dishes"), engine.dictionary("dishes"))]
+    before = tables()
+    engine.rebuild("dishes")
+    assert tables() == before and engine.store.current("dishes")["removals"] == []
+    terms = [r["term"] for r in engine.postings("dishes").filter("field = 'title'").select("term").collect()]
+    assert "apple" in terms and engine.search("dishes", {"query": "pie", "query by": ["title"]}, fuzzy=False).count() == 1
+
+
 QUERIES = ["search_word_tfidf", "search_and", "search_phrase_slop", "relax_drop_token", "fuzzy_search", "suggest_topk", "suggest_lookup", "nested_first_elements", "validate_props_json", "phonetic_groups", "batch_search"]
 FACADE = ["engine_remove", "engine_search", "add_batch_conflicts", "doc_to_json", "search_json", "engine_errors", "config_flat", "segment_terms", "sound_search", "json_chunks"]
 
